@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, exact_dedup, langid, pii, quality, secrets, simhash
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +14,47 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = langid.predict(docs, langid.samples(docs))
+    return out.select("doc_id", (langid.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return out.select("doc_id", (langid.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def secret_columns(found: DataFrame) -> DataFrame:
+    base = F.filter("spans", lambda s: s["name"].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["name"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.written_spans(base).cast("binary"), 256).alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_columns(secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def pii_columns(found: DataFrame) -> DataFrame:
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_columns(pii.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_exact_dedup": op2_exact_dedup, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_quality": op5_quality, "op7_secrets": op7_secrets, "op9_pii": op9_pii}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
