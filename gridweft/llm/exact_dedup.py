@@ -31,9 +31,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_s
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_columns else []
-    base = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), F.length(text).alias("len"), *own).withColumn("h", F.xxhash64("norm"))
+    row = F.struct(*[docs[c].alias(c) for c in (docs.columns if keep_columns else dict.fromkeys([id_col, text_col]))])
+    base = docs.select(row.alias("row")).withColumn("norm", normalised(F.col(f"row.`{text_col}`")))
+    base = base.select("row", F.col(f"row.`{id_col}`").alias("id"), F.length(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))).alias("len"), F.substring("norm", 1, 32).alias("head"), F.xxhash64("norm").alias("h"))
     total = docs.count()
     crowd = base.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * hot_share * parts > max(total, 8 * hot_share * parts)).select("h").collect()
     salt = F.lit(0)
@@ -41,11 +41,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_s
         base = base.join(F.broadcast(spark.createDataFrame(crowd, "h long").withColumn("hot", F.lit(True))), "h", "left")
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "len", F.spark_partition_id()), F.lit(parts)) + 1).otherwise(0)
     base = base.withColumn("salt", salt.cast("long")).drop("hot")
-    placed = base.withColumn("head", F.substring("norm", 1, 32)).repartitionByRange(parts, "head", "h", "salt")
+    placed = base.repartitionByRange(parts, "head", "h", "salt").withColumn("norm", normalised(F.col(f"row.`{text_col}`")))
     group = Window.partitionBy("head", "h", "salt", "norm").orderBy(F.desc("len"), F.asc_nulls_last("id"))
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sorted_ = placed.select(*own and ["row"], "id", "salt", "len", "norm", F.first("id").over(whole).alias("keep_id"), F.count("*").over(whole).alias("size"), F.row_number().over(group).alias("place"))
-    seen = sorted_.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
+    own = ["row"] if keep_columns else []
+    seen = placed.select(*own, "id", "salt", "len", "norm", F.first("id").over(whole).alias("keep_id"), F.count("*").over(whole).alias("size"), F.row_number().over(group).alias("place")).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
     keep = F.col("place") == 1
     if crowd:
         best = seen.where("salt > 0 and place = 1").groupBy("sha", "norm").agg(F.sum("size").alias("g_size"), F.min(F.struct((-F.col("len")).alias("l"), F.col("keep_id").isNull().alias("z"), F.col("keep_id").alias("i"), F.col("salt").alias("s"))).alias("g"))
@@ -53,7 +53,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_s
         hot = (F.col("salt") > 0) & F.col("g").isNotNull()
         keep = keep & (~hot | (F.col("salt") == F.col("g.s")))
         seen = seen.withColumn("keep_id", F.when(hot, F.col("g.i")).otherwise(F.col("keep_id"))).withColumn("size", F.when(hot, F.col("g_size")).otherwise(F.col("size")))
-    return seen.select(*own and ["row"], F.col("id").alias(id_col), "keep_id", F.col("size").cast("long").alias("group_size"), keep.alias("kept"), F.col("sha").alias("text_sha256"))
+    return seen.select(*own, F.col("id").alias(id_col), "keep_id", F.col("size").cast("long").alias("group_size"), keep.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 ORACLE = r"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, pii, quality, secrets, simhash
+from . import bpe, embed_dedup, exact_dedup, langid, mixture, pii, quality, secrets, simhash, token_output
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +56,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_columns(pii.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_exact_dedup": op2_exact_dedup, "op3_bpe": op3_bpe, "op4_language": op4_language, "op5_quality": op5_quality, "op7_secrets": op7_secrets, "op9_pii": op9_pii}
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where, shards = token_output.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_output.read(spark, where, shards)
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_bpe, op4_language, op5_quality, op6_embeddings, op7_secrets, op8_token_files, op9_pii, op10_mixture)}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op6_embeddings": embed_dedup.ORACLE}

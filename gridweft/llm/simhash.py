@@ -8,6 +8,8 @@ dimensions, so some v is orthogonal to all of them: the pair agrees on every bit
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -63,10 +65,13 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
 
 
 def masks(radius: int, key_bits: int = 64) -> list[int]:
-    """The 2^(radius+1) - 1 covering masks; key_bits keeps fewer bits of each, which only adds collisions."""
-    size = (1 << radius + 1) - 1
+    """The 2^(radius+1) - 1 covering masks; key_bits keeps that many bits of each, drawn by table, which only adds collisions."""
+    size, out = (1 << radius + 1) - 1, []
     vector = [1 + i % size for i in range(64)]
-    return [sum(1 << i for i in [i for i in range(64) if (vector[i] & v).bit_count() & 1][:key_bits]) for v in range(1, size + 1)]
+    for v in range(1, size + 1):
+        bits = [i for i in range(64) if (vector[i] & v).bit_count() & 1]
+        out.append(sum(1 << i for i in random.Random(v).sample(bits, min(key_bits, len(bits)))))
+    return out
 
 
 def signed(x: int) -> int:
@@ -144,3 +149,88 @@ def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, link: int = 4,
     else:
         out = rows.join(of.select("fp", "component_id"), "fp")
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
+    """(row, hashes): the distinct shingle hashes of each text; docs is (row, text as binary)."""
+    common.ship(docs.sparkSession)
+    schema = pa.schema([("row", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for whole in batches:
+            for b in common.slices(whole, "text"):
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *word_hashes(t.as_py() or b"", words, seed)])).view(np.int64) for t in b.column(1)]
+                yield common.batch({"row": b.column(0), "hashes": pa.array(sets, pa.list_(pa.int64()))}, schema)
+
+    return docs.mapInArrow(run, "row long, hashes array<long>")
+
+
+def candidates(fps: DataFrame, radius: int, key_bits: int, link: int, bucket: int = BUCKET) -> DataFrame:
+    """(u, v): pairs of distinct fingerprints that share a table's key and differ in at most link bits.
+
+    All pairs of a bucket of up to ``bucket`` fingerprints; in fuller ones each fingerprint is
+    paired with the bucket's smallest and with its predecessor, which keeps such buckets linear
+    and leaves the other pairs to the tables that part them.
+    """
+    rows = keyed(fps, radius, key_bits)
+    full = common.written(rows.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= link
+    out = full.where("n = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).where(near)
+    some = _members(rows, full.where(f"n between 3 and {bucket}").select("table", "key"))
+    pairs = some.select("table", "key", F.col("fp").alias("u")).join(some.select("table", "key", F.col("fp").alias("v")), ["table", "key"]).where(F.col("u") < F.col("v")).where(near)
+    out = out.union(pairs.select("u", "v"))
+    crowded = full.where(F.col("n") > bucket).select("table", "key", "a")
+    if crowded.limit(1).count():
+        many = _members(rows, crowded)
+        before = many.select(F.lag("fp").over(Window.partitionBy("table", "key").orderBy("fp")).alias("u"), F.col("fp").alias("v"))
+        out = out.union(many.select(F.col("a").alias("u"), F.col("fp").alias("v")).where("u <> v").where(near)).union(before.where("u is not null").where(near))
+    return out.distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, link: int = 15, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs and ``kept``: one row of each group of near-duplicates is kept.
+
+    Candidates come from covering masks on fingerprints of word shingles: all pairs within radius
+    bits and, as each key keeps about log2(rows) + 3 of its mask's bits, most pairs far beyond it
+    are found. A candidate is a link when the Jaccard similarity of both sets of shingles reaches
+    similarity; groups are the components of the links. The smallest id of a group is kept (null
+    ids last, of equal ids one row). Texts without words are alike. Rows of one fingerprint are
+    compared with the first of them. Columns of docs keep their names, values and order.
+    """
+    spark = docs.sparkSession
+    common.ship(spark)
+    taken = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    at = docs.columns.index(text_col)
+    frame = docs.select(*taken, F.monotonically_increasing_id().alias("row"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
+
+    def run(batches):
+        for b in batches:
+            out = common.unsigned([fingerprint(None if (x := t.as_py()) is None else x.encode(), words, seed) for t in b.column(at)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], names=[*b.schema.names, "fp"])
+
+    table = common.written(frame.mapInArrow(run, types + ", fp long"), "fingerprinted")
+    rows = table.select("row", "fp")
+    fps = common.written(rows.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    bits = max(18, int(np.ceil(np.log2(max(1, fps.count())))) + 3)
+    near = candidates(fps.select("fp"), radius, bits, link)
+    of = fps.select("fp", "first")
+    across = near.join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select("a", "b")
+    shared = fps.where("n > 1").select("fp", "first")
+    inside = rows.join(shared, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    pairs = common.written(across.union(inside), "candidates")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = common.written(shingle_sets(table.join(used, "row", "left_semi").select("row", F.col(f"c{at}").cast("binary").alias("text")), words, seed), "shingles")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common_ = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common_
+    links_ = both.where((union == 0) | (common_ >= F.lit(similarity) * union)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = common.written(graph.components(links_), "groups")
+    idc = f"c{docs.columns.index(id_col)}"
+    named = roots.join(table.select(F.col("row").alias("node"), F.col(idc).alias("id")), "node")
+    order = F.struct(F.col("id").isNull().alias("z"), "id", "node")
+    stays = named.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.node").alias("node"))
+    gone = common.written(roots.select("node").join(stays, "node", "left_anti"), "dropped").select(F.col("node").alias("row"), F.lit(False).alias("kept"))
+    few = gone.count() <= common.BROADCAST_ROWS
+    out = table.join(F.broadcast(gone) if few else gone, "row", "left")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.coalesce("kept", F.lit(True)).alias("kept"))
