@@ -18,6 +18,7 @@ from ..functions import cells
 from ..functions.cells import Box, Cell
 from ..operators.overlay import CELL, SOURCE, Dominance, overlay
 from ..operators.predicates import Predicate, pruning
+from ..sources.tables import cut
 
 SPLIT = 8
 
@@ -175,6 +176,8 @@ class Merge(Tree):
             if b and c and b.contains(c):
                 return top.resolved(box, only)
         (a, e1), (b, e2) = self.first.resolved(box, only), self.second.resolved(box, only)
+        # an overlay reads its sides several times: inner merges are worked out once, within the box
+        a, b = (cut(d) if isinstance(t, Merge) else d for d, t in ((a, self.first), (b, self.second)))
         if all(t.box for t in self.bases()) and not self.first.bounding_box().intersects(self.second.bounding_box()):
             return a.unionByName(b, allowMissingColumns=True), tuple(sorted({*e1, *e2}))
         return overlay(a, b, e1, e2, self.dominance)

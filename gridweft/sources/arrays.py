@@ -102,7 +102,7 @@ def read_points(spark: SparkSession, path: str, columns: dict[str, int], separat
     """Rows (seq, name...) of a separated point file; columns gives each name's place. seq follows the file's lines."""
     raw = spark.read.csv(path, sep=separator, header=False, inferSchema=False)
     raw = raw.withColumn("seq", F.monotonically_increasing_id())
-    rows = raw.select("seq", *[F.col(f"_c{i}").cast("double").alias(n) for n, i in columns.items()])
+    rows = raw.select("seq", *[F.col(f"_c{i}").try_cast("double").alias(n) for n, i in columns.items()])
     return rows.where(F.col(next(iter(columns))).isNotNull()) if header else rows
 
 
