@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import Box
+from ..operators.inspect import nodes
 from ..operators.overlay import CELL, SOURCE, Dominance
 from ..plans.tree import EMPTY, Link, Merge, Raster, Tree, with_tiles
 
@@ -51,17 +52,18 @@ class Store:
         return tree_id in self._trees if self.path is None else self._exists(f"{self.path}/trees/{tree_id}.json")
 
     def save(self, tree: Tree) -> str:
-        """Keep a tree; returns its id."""
+        """Keep a tree and with it all trees below; returns its id."""
         if tree is EMPTY:
             return tree.id
         if self.path is None:
             for r in tree.bases():
                 if self.cache and r.id not in self._kept:
                     self._kept[r.id] = r.df.persist()
-            self._trees[tree.id] = tree
+            self._trees.update({t.id: t for t in nodes(tree)})
             return tree.id
-        if not self.exists(tree.id):
-            self._put(f"{self.path}/trees/{tree.id}.json", json.dumps({"version": VERSION, "plan": self._plan(tree)}))
+        for t in nodes(tree)[::-1]:  # what a manifest names is there before it
+            if not self.exists(t.id):
+                self._put(f"{self.path}/trees/{t.id}.json", json.dumps({"version": VERSION, "plan": self._plan(t)}))
         return tree.id
 
     def _plan(self, tree: Tree) -> dict:
@@ -100,8 +102,6 @@ class Store:
 
     def keys(self, tree_id: str) -> list[str]:
         """Ids of a tree, its subtrees and bases."""
-        from ..operators.inspect import nodes
-
         tree = self.load(tree_id)
         return [] if tree is EMPTY else [t.id for t in nodes(tree)]
 
