@@ -20,6 +20,8 @@ from . import common, graph
 #: Least cosine of a link; vectors of a block (a window spans one to two blocks); share of links that may be missed by the estimate of passes().
 COSINE, BLOCK, MISS = 0.93, 128, 1e-4
 SEED = 20
+#: Rows of a class from which it is joined by broadcast.
+HOT = 100_000
 
 
 def passes(rows: int, cosine: float = COSINE, block: int = BLOCK, miss: float = MISS) -> int:
@@ -97,7 +99,7 @@ def _merged(held):
     return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
 
 
-def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, number: int | None = None, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, number: int | None = None, seed: int = SEED, hot: int = HOT, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for every row of vectors.
 
     Only vectors of one label and length are compared, by cosine in double precision. Null, empty
@@ -147,7 +149,15 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, n
     links = both.join(sizes.withColumnRenamed("rep", "v"), "v").groupBy("u").agg(F.sum("s").alias("others"))
     of = classes.join(links.withColumnRenamed("u", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"), F.col("size"))
-    found = rows.where("v is not null").join(of, ["label", "v"]).select("id", "n_links", "component_id")
+    of = common.written(of, "vector-groups")
+    seen = rows.where("v is not null")
+    crowd = of.where(F.col("size") > hot).select("label", "v", "n_links", "component_id")
+    if crowd.limit(1).count():  # classes with many rows: at most rows / hot of them
+        seen = seen.join(F.broadcast(crowd), ["label", "v"], "left")
+        cold = seen.where("component_id is null").select("id", "label", "v").join(of, ["label", "v"])
+        found = seen.where("component_id is not null").select("id", "n_links", "component_id").union(cold.select("id", "n_links", "component_id"))
+    else:
+        found = seen.join(of, ["label", "v"]).select("id", "n_links", "component_id")
     out = found.union(rows.where("v is null").select("id", F.lit(0).cast("long"), F.col("id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

@@ -105,8 +105,9 @@ def _variants(rows: DataFrame, radius: int, link: int) -> DataFrame:
         flips += [(t, signed(x)) for x in own]
     table = F.broadcast(rows.sparkSession.createDataFrame(flips, "table int, flip long"))
     named = rows.join(table, "table").select("table", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("name"), "fp")
-    low = Window.partitionBy("table", "key", "name")
-    return named.select("fp", F.min("fp").over(low).alias("low")).where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+    low = named.groupBy("table", "key", "name").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
+    joined = named.join(low, ["table", "key", "name"])
+    return joined.where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
 
 
 def links(fps: DataFrame, radius: int = 4, link: int = 4, bucket: int = BUCKET) -> DataFrame:
@@ -169,7 +170,7 @@ def candidates(fps: DataFrame, radius: int, key_bits: int, link: int, bucket: in
     """(u, v): pairs of distinct fingerprints that share a table's key and differ in at most link bits.
 
     All pairs of a bucket of up to ``bucket`` fingerprints; in fuller ones each fingerprint is
-    paired with the bucket's smallest and with its predecessor, which keeps such buckets linear
+    paired with the bucket's smallest and with its predecessor of the same range, which keeps such buckets linear
     and leaves the other pairs to the tables that part them.
     """
     rows = keyed(fps, radius, key_bits)
@@ -182,7 +183,8 @@ def candidates(fps: DataFrame, radius: int, key_bits: int, link: int, bucket: in
     crowded = full.where(F.col("n") > bucket).select("table", "key", "a")
     if crowded.limit(1).count():
         many = _members(rows, crowded)
-        before = many.select(F.lag("fp").over(Window.partitionBy("table", "key").orderBy("fp")).alias("u"), F.col("fp").alias("v"))
+        # ranges of the fingerprint share out a bucket that holds much of the table
+        before = many.select(F.lag("fp").over(Window.partitionBy("table", "key", F.shiftright("fp", 48)).orderBy("fp")).alias("u"), F.col("fp").alias("v"))
         out = out.union(many.select(F.col("a").alias("u"), F.col("fp").alias("v")).where("u <> v").where(near)).union(before.where("u is not null").where(near))
     return out.distinct()
 

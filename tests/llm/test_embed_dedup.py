@@ -52,7 +52,7 @@ def test_links_match_all_pairs(spark, block):
             rows.append((k, [float(x) for x in v], c % 3))
             k += 1
     rows += [(k + i, rows[5][1], rows[5][2]) for i in range(40)] + [(5, rows[5][1], rows[5][2])]
-    check(spark, rows, block=block)
+    check(spark, rows, block=block, hot=10 if block == 8 else 10**5)
 
 
 def test_edges(spark):
