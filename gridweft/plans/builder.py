@@ -59,6 +59,18 @@ class Builder:
     def describe(self) -> list[str]:
         return [f"patch {k}: e={e} box={box}" for k, (_, e, box) in enumerate(self._patches)]
 
+    def save(self, store, name: str | None = None) -> str:
+        """Append all patches to a store's patch table; returns its name."""
+        return store.save_patches(self.patches(), name)
+
+    @staticmethod
+    def load(store, name: str, split: int = SPLIT) -> Builder:
+        """A builder over a stored patch table, one patch for each of its patch numbers and exponents, in order."""
+        out, rows = Builder(split), store.load_patches(name)
+        for seq, e in sorted(tuple(r) for r in rows.select("patch_seq", "e").distinct().collect()):
+            out._append(rows.where((F.col("patch_seq") == seq) & (F.col("e") == e)).drop("patch_seq"), e, None)
+        return out
+
     def build(self) -> Tree:
         """One raster per exponent (the last patch wins a cell), laid under each other, finer ones on top."""
         return fold(self.patches(), self.exponents, self.split)

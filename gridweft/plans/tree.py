@@ -140,6 +140,10 @@ class Raster(Tree):
         kept = self.df.where(F.col("x").between(window.x0, window.x1 - 1) & F.col("y").between(window.y0, window.y1 - 1))
         return replace(self, df=kept, box=own, id=str(uuid.uuid4()))
 
+    def in_memory(self) -> Raster:
+        """The raster with its samples kept by the executors; unpersist its df to let them go."""
+        return replace(self, df=self.df.persist())
+
     def with_layers(self, *names: str) -> Raster:
         """Only the named layers, in this order."""
         return replace(self, df=self.df.select(*CELL, *names), id=str(uuid.uuid4()))

@@ -382,3 +382,53 @@ def roundtrip_patches(spark, sf):
 
     store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     return store.load_patches(store.save_patches(_mixed(spark, sf)))
+
+
+@registered(sql("SELECT qe, qx, qy, CASE WHEN heights IS NULL THEN -1.0 ELSE heights END AS value FROM (SELECT -1 AS qe, event_id % 150 AS qx, user_id % 90 AS qy FROM events) LEFT JOIN r_part ON x = qx >> 1 AND y = qy >> 1"))
+def border_value(spark, sf):
+    keys = _table(spark, sf, "events").select(F.lit(-1).alias("qe"), (F.col("event_id") % 150).alias("qx"), (F.col("user_id") % 90).alias("qy"))
+    return sample.at_cells(r_part(spark, sf), keys, "heights", sample.Border.CLAMP_TO_BORDER, -1.0)
+
+
+@registered(sql("""SELECT qe, qx, qy, heights AS value FROM (SELECT 0 AS qe, event_id % 80 - 5 AS qx, user_id % 3 - 2 AS qy FROM events)
+JOIN r_part ON x = least(greatest(qx, 0), 63) AND y = least(greatest(qy, 0), (SELECT max(y) FROM r_part))"""))
+def border_edge(spark, sf):
+    keys = _table(spark, sf, "events").select(F.lit(0).alias("qe"), (F.col("event_id") % 80 - 5).alias("qx"), (F.col("user_id") % 3 - 2).alias("qy"))
+    return sample.at_cells(r_part(spark, sf), keys, "heights", sample.Border.CLAMP_TO_EDGE)
+
+
+# both sides filtered first: a rejected cell of the winner hides nothing
+@registered(sql("SELECT e, x, y, heights FROM r_coarse WHERE x * 4 >= 2 AND x * 4 + 4 <= 30 AND y * 4 >= 0 AND y * 4 + 4 <= 3 UNION ALL SELECT e, x, y, heights FROM r_part p WHERE x >= 2 AND x + 1 <= 30 AND y + 1 <= 3 AND NOT EXISTS (SELECT 1 FROM r_coarse c WHERE c.x = p.x >> 2 AND c.y = p.y >> 2 AND c.x * 4 >= 2 AND c.x * 4 + 4 <= 30 AND c.y * 4 + 4 <= 3)"))
+def filter_then_overlay(spark, sf):
+    tree = merge(Dominance.FIRST, r_coarse(spark, sf), _heights(r_part(spark, sf)))
+    return query(tree, predicates.inside_box(Box(2, 0, 30, 3)), filter_first=True).select(*OUT)
+
+
+@registered(sql("SELECT 0 AS e, x, y FROM (SELECT x0 + i AS x, y0 + j AS y, x0, y0, x1, y1, i, j FROM (SELECT DISTINCT (p_partkey % 7) * 10 AS x0, p_size * 5 AS y0, (p_partkey % 7) * 10 + 3 AS x1, p_size * 5 + 2 AS y1 FROM part), range(3) a(i), range(2) b(j))"))
+def window_enumeration(spark, sf):
+    t = _table(spark, sf, "part").select(((F.col("p_partkey") % 7) * 10).cast("long").alias("x0"), (F.col("p_size") * 5).cast("long").alias("y0")).distinct()
+    return layers.window_cells(t.select(F.lit(0).alias("e"), "x0", "y0", (F.col("x0") + 3).alias("x1"), (F.col("y0") + 2).alias("y1")))
+
+
+@registered(sql("""SELECT p.e, p.x, p.y, o.e AS oe, o.x AS ox, o.y AS oy, p.heights AS old, o.heights AS new, o.heights - p.heights AS difference FROM r_coarse p JOIN r_part o ON o.x >> 2 = p.x AND o.y >> 2 = p.y
+UNION ALL SELECT p.e, p.x, p.y, o.e, o.x, o.y, p.heights, o.heights, o.heights - p.heights FROM r_orders_s p JOIN r_part o ON p.x >> 1 = o.x AND p.y >> 1 = o.y"""))
+def epoch_difference_levels(spark, sf):
+    part = _heights(r_part(spark, sf))
+    a = sample.epoch_difference(r_coarse(spark, sf), part, "heights")
+    return a.unionByName(sample.epoch_difference(r_orders_s(spark, sf), part, "heights"))
+
+
+@registered(sql("SELECT e, x, y, heights FROM r_part"))
+def streamed_patches(spark, sf):
+    """Patches that arrive as a stream end in the store once, though the stream runs twice."""
+    import uuid
+
+    from .streaming.patches import append_patches
+
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _heights(r_part(spark, sf)).df.withColumn("patch_seq", F.lit(0).cast("long")).write.parquet(f"{base}/in")
+    store = Store(spark, f"{base}/store")
+    for _ in range(2):
+        stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+        append_patches(stream, store, "p", f"{base}/state").awaitTermination()
+    return store.load_patches("p").select(*OUT)

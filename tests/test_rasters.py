@@ -55,7 +55,7 @@ def test_polygon_edges_count_as_inside(spark):
     assert set(got) == {(0, 0, 0), (1, 0, 0), (2, 0, 0), (1, 1, 0), (2, 1, 0)}
 
 
-def test_readme_example(spark):
+def test_two_layers_near_a_line(spark):
     r = from_arrays(spark, DataMapping(Cell(500000, 2000, 0), 4, 3), {"heights1d": [1.0, 1.0, 2.0, 2.0, 1.5, 1.6, 1.7, 1.8, 1.6, 1.7, 2.0, 2.2], "colors3b": [(255, i, 0) for i in range(4)] + [(0, 255, 1), (1, 255, 1), (2, 255, 1), (3, 255, 1)] + [(i, 2, 255) for i in range(4)]})
     got = query(r, predicates.near_line((500000, 2000), (1, 1), 0.5)).orderBy("x").collect()
     assert [(g.x - 500000, g.heights1d, tuple(g.colors3b)) for g in got] == [(0, 1.0, (255, 0, 0)), (1, 1.6, (1, 255, 1)), (2, 2.0, (2, 2, 255))]
