@@ -95,6 +95,13 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
+def replace_file(fs: pa.fs.FileSystem, temp: str, path: str) -> None:
+    """Rename over what an earlier attempt left, also where a rename may not overwrite."""
+    if not isinstance(fs, pa.fs.LocalFileSystem) and fs.get_file_info(path).type != pa.fs.FileType.NotFound:
+        fs.delete_file(path)
+    fs.move(temp, path)
+
+
 class ShardWriter:
     """Packs ids into sequences of equal length and writes them batch by batch."""
 
@@ -132,11 +139,11 @@ class ShardWriter:
         self._flush(True)
         self.writer.close()
         self.out.close()
-        self.fs.move(self.temp, self.path)
+        replace_file(self.fs, self.temp, self.path)
         table = pa.table({"doc_id": pa.array([d[0] for d in self.docs], pa.int64()), "start": pa.array([d[1] for d in self.docs], pa.int64()), "n_tokens": pa.array([d[2] for d in self.docs], pa.int64())})
         with self.fs.open_output_stream(self.temp) as f, pa.ipc.new_file(f, table.schema) as w:
             w.write_table(table)
-        self.fs.move(self.temp, self.path + ".docs")
+        replace_file(self.fs, self.temp, self.path + ".docs")
 
 
 class Shard:
