@@ -25,8 +25,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_s
     Equal normalised texts form a group; the row with the most code points in its original text,
     then the smallest id, stays (null ids last; of rows alike in both exactly one). Null and empty
     texts are one group. A text with more copies than rows / (hot_share * partitions) is salted
-    over all partitions: there are at most hot_share * partitions such texts, so their hashes and
-    their merged groups can be broadcast, and any other group is a fraction of a partition.
+    over all partitions: there are at most hot_share * partitions such texts, so their hashes can be
+    named in the plan and their merged groups broadcast, and any other group is a fraction of a partition.
     Empty tables give no rows; only the two named columns are read unless keep_columns is set.
     """
     spark = docs.sparkSession
@@ -38,9 +38,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_s
     crowd = base.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") * hot_share * parts > max(total, 8 * hot_share * parts)).select("h").collect()
     salt = F.lit(0)
     if crowd:
-        base = base.join(F.broadcast(spark.createDataFrame(crowd, "h long").withColumn("hot", F.lit(True))), "h", "left")
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "len", F.spark_partition_id()), F.lit(parts)) + 1).otherwise(0)
-    base = base.withColumn("salt", salt.cast("long")).drop("hot")
+        salt = F.when(F.col("h").isin([r.h for r in crowd]), F.pmod(F.xxhash64("id", "len", F.spark_partition_id()), F.lit(parts)) + 1).otherwise(0)
+    base = base.withColumn("salt", salt.cast("long"))
     placed = base.repartitionByRange(parts, "head", "h", "salt").withColumn("norm", normalised(F.col(f"row.`{text_col}`")))
     group = Window.partitionBy("head", "h", "salt", "norm").orderBy(F.desc("len"), F.asc_nulls_last("id"))
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
