@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The fit reads at most DOCS documents a language and keeps CHARS characters of them (a bound on the sample; predictions read whole texts).
-DOCS, CHARS = 256, 40_000
+DOCS, CHARS = 256, 24_000
 #: Characters after which a phrase must end, in texts to be parsed. Blocks make long texts parallel; the cut costs at most a phrase each.
 BLOCK = 512
 #: Code points of all texts parsed at once.
-STEP = 6_000_000
+STEP = 1_500_000
 UNKNOWN = "und"
 
 
@@ -225,7 +225,7 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
             kept[key] = Automata(shared.value)
         a = kept[key]
         for whole in batches:
-            for b in common.slices(whole, "parsed", 4_000_000):
+            for b in common.slices(whole, "parsed", 1_000_000):
                 lang, score = a.predict(b.column(b.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
