@@ -149,12 +149,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 n, ids_sha, decoded_sha, kept = [], [], [], []
                 for t in b.column(1):
                     ids = c.encode(t.as_py() or "")
+                    packed = np.array(ids, "<u4")
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    ids_sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
                     decoded_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
                     if with_ids:
-                        kept.append(ids)
-                yield common.batch({"id": b.column(0), "n": n, "ids_sha": ids_sha, "decoded_sha": decoded_sha} | ({"ids": kept} if with_ids else {}), schema)
+                        kept.append(packed.view(np.int32))
+                lists = {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(kept)))} if with_ids else {}
+                yield common.batch({"id": b.column(0), "n": n, "ids_sha": ids_sha, "decoded_sha": decoded_sha} | lists, schema)
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, ids_sha string, decoded_sha string" + ", ids array<int>" * with_ids)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("ids_sha").alias("ids_sha256"), F.col("decoded_sha").alias("decoded_sha256"), *["ids"] * with_ids)

@@ -64,7 +64,7 @@ def batch(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
 
 
-def slices(b: pa.RecordBatch, column: str, limit: int = 16_000_000):
+def slices(b: pa.RecordBatch, column: str, limit: int = 4_000_000):
     """Cut a batch so that each part holds about limit bytes of the column, one row at least."""
     sizes = np.diff(np.asarray(offsets(b.column(column))))
     ends = np.cumsum(sizes)
