@@ -23,6 +23,8 @@ BUCKET = 64
 #: Copies of a fingerprint from which its documents take their component from a broadcast row: at most rows / HOT such rows exist.
 HOT = 100_000
 HASHES = 1 << 16
+#: Odd multiplier that makes a second fingerprint of the same hashes.
+MIX = 0x9E3779B97F4A7C15
 
 
 def word_hashes(text: bytes, words: int, seed: int = 42):
@@ -42,13 +44,23 @@ def word_hashes(text: bytes, words: int, seed: int = 42):
         yield np.array([digest(joined[i:j], seed) for i, j in zip(a, b)], np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit majority fingerprint as an unsigned integer; 0 for a null text or one without words."""
-    ones, n = np.zeros(64, np.int64), 0
+def majorities(text: bytes | None, words: int, seed: int, mixes: tuple[int, ...] = (1,)) -> list[int]:
+    """The 64-bit majority of the hashes times each odd number; zeros for a null text or one without words."""
+    ones, n = np.zeros((len(mixes), 64), np.int64), 0
     for h in word_hashes(text or b"", words, seed):
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
+        for k, m in enumerate(mixes):
+            x = h
+            if m != 1:
+                x = (h ^ (h >> np.uint64(32))) * np.uint64(m)
+                x ^= x >> np.uint64(29)
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [int(np.packbits(2 * o > n, bitorder="little").view(np.uint64)[0]) if n else 0 for o in ones]
+
+
+def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+    """The 64-bit majority fingerprint as an unsigned integer; 0 for a null text or one without words."""
+    return majorities(text, words, seed)[0]
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,11 +91,24 @@ def signed(x: int) -> int:
 
 
 def keyed(fps: DataFrame, radius: int, key_bits: int = 64) -> DataFrame:
-    """(table, key, fp): the distinct fingerprints under every mask."""
+    """(table, key, fp): the distinct fingerprints under every mask, from as many tasks as a shuffle has."""
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     tables = F.array(*[F.lit(signed(m)) for m in masks(radius, key_bits)])
     return fps.select("fp", F.posexplode(tables).alias("table", "mask")).select("table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(table, key, n, a, b, c): keys with several fingerprints, their least and greatest, and the third where there are three."""
+    grouped = rows.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("c")).where("n > 1")
+    return common.written(grouped.withColumn("c", F.when(F.col("n") == 3, F.col("c").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b")))), "buckets")
+
+
+def _small(full: DataFrame) -> DataFrame:
+    """(u, v): all pairs of buckets of two and three."""
+    pairs = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("a").alias("u"), F.col("c").alias("v")), F.struct(F.col("c").alias("u"), F.col("b").alias("v")))
+    return full.where("n <= 3").select(F.explode(F.when(F.col("n") == 3, pairs).otherwise(F.slice(pairs, 1, 1))).alias("p")).select("p.*")
+
+
 def _members(rows: DataFrame, full: DataFrame) -> DataFrame:
     n = full.count()
     return rows.join(F.broadcast(full) if n <= common.BROADCAST_ROWS else full, ["table", "key"])
@@ -115,13 +140,13 @@ def links(fps: DataFrame, radius: int = 4, link: int = 4, bucket: int = BUCKET)
     if link > radius:
         raise ValueError("a link distance beyond the covering radius would lose pairs")
     rows = keyed(fps, radius)
-    full = common.written(rows.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
+    full = _buckets(rows)
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= link
-    out = full.where("n = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).where(near)
-    some = _members(rows, full.where(f"n between 3 and {bucket}").select("table", "key"))
+    out = _small(full).where(near)
+    some = _members(rows, full.where(f"n between 4 and {bucket}").select("table", "key"))
     pairs = some.select("table", "key", F.col("fp").alias("u")).join(some.select("table", "key", F.col("fp").alias("v")), ["table", "key"]).where(F.col("u") < F.col("v")).where(near)
     out = out.union(pairs.select("u", "v"))
-    crowded = full.where(F.col("n") > bucket).select("table", "key")
+    crowded = full.where(F.col("n") > max(3, bucket)).select("table", "key")
     if crowded.limit(1).count():
         out = out.union(_variants(_members(rows, crowded), radius, link))
     return out.distinct()
@@ -174,13 +199,13 @@ def candidates(fps: DataFrame, radius: int, key_bits: int, link: int, bucket: in
     and leaves the other pairs to the tables that part them.
     """
     rows = keyed(fps, radius, key_bits)
-    full = common.written(rows.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
+    full = _buckets(rows)
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= link
-    out = full.where("n = 2").select(F.col("a").alias("u"), F.col("b").alias("v")).where(near)
-    some = _members(rows, full.where(f"n between 3 and {bucket}").select("table", "key"))
+    out = _small(full).where(near)
+    some = _members(rows, full.where(f"n between 4 and {bucket}").select("table", "key"))
     pairs = some.select("table", "key", F.col("fp").alias("u")).join(some.select("table", "key", F.col("fp").alias("v")), ["table", "key"]).where(F.col("u") < F.col("v")).where(near)
     out = out.union(pairs.select("u", "v"))
-    crowded = full.where(F.col("n") > bucket).select("table", "key", "a")
+    crowded = full.where(F.col("n") > max(3, bucket)).select("table", "key", "a")
     if crowded.limit(1).count():
         many = _members(rows, crowded)
         # ranges of the fingerprint share out a bucket that holds much of the table
@@ -189,12 +214,13 @@ def candidates(fps: DataFrame, radius: int, key_bits: int, link: int, bucket: in
     return out.distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, link: int = 15, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, link: int = 18, second: int = 21, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs and ``kept``: one row of each group of near-duplicates is kept.
 
     Candidates come from covering masks on fingerprints of word shingles: all pairs within radius
     bits and, as each key keeps about log2(rows) + 3 of its mask's bits, most pairs far beyond it
-    are found. A candidate is a link when the Jaccard similarity of both sets of shingles reaches
+    are found; a second fingerprint of the same hashes must differ in at most ``second`` bits, which
+    unrelated pairs hardly do. A candidate is a link when the Jaccard similarity of both sets of shingles reaches
     similarity; groups are the components of the links. The smallest id of a group is kept (null
     ids last, of equal ids one row). Texts without words are alike. Rows of one fingerprint are
     compared with the first of them. Columns of docs keep their names, values and order.
@@ -208,18 +234,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
 
     def run(batches):
         for b in batches:
-            out = common.unsigned([fingerprint(None if (x := t.as_py()) is None else x.encode(), words, seed) for t in b.column(at)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], names=[*b.schema.names, "fp"])
-
-    table = common.written(frame.mapInArrow(run, types + ", fp long"), "fingerprinted")
-    rows = table.select("row", "fp")
-    fps = common.written(rows.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+            both = [majorities(None if (x := t.as_py()) is None else x.encode(), words, seed, (1, MIX)) for t in b.column(at)]
+            out = np.array(both, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[:, 0]), pa.array(out[:, 1])], names=[*b.schema.names, "fp", "fp2"])
+
+    table = common.written(frame.mapInArrow(run, types + ", fp long, fp2 long"), "fingerprinted")
+    rows = table.select("row", "fp", "fp2")
+    fps = rows.groupBy("fp").agg(F.min("row").alias("first"), F.min_by("fp2", "row").alias("fp2"), F.count("*").alias("n"))
+    fps = common.written(fps, "distinct-fingerprints")
     bits = max(18, int(np.ceil(np.log2(max(1, fps.count())))) + 3)
     near = candidates(fps.select("fp"), radius, bits, link)
-    of = fps.select("fp", "first")
-    across = near.join(of.toDF("u", "a"), "u").join(of.toDF("v", "b"), "v").select("a", "b")
+    of = fps.select("fp", "first", "fp2")
+    across = near.join(of.toDF("u", "a", "p"), "u").join(of.toDF("v", "b", "q"), "v").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= second).select("a", "b")
     shared = fps.where("n > 1").select("fp", "first")
-    inside = rows.join(shared, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    inside = rows.select("row", "fp").join(shared, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
     pairs = common.written(across.union(inside), "candidates")
     used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     sets = common.written(shingle_sets(table.join(used, "row", "left_semi").select("row", F.col(f"c{at}").cast("binary").alias("text")), words, seed), "shingles")
