@@ -198,19 +198,16 @@ def candidates(fps: DataFrame, radius: int, key_bits: int, link: int, bucket: in
     paired with the bucket's smallest and with its predecessor of the same range, which keeps such buckets linear
     and leaves the other pairs to the tables that part them.
     """
-    rows = keyed(fps, radius, key_bits)
-    full = _buckets(rows)
+    own = Window.partitionBy("table", "key")
+    rows = keyed(fps, radius, key_bits).select("table", "key", "fp", F.count("*").over(own).alias("n"), F.min("fp").over(own).alias("a"))
+    members = common.written(rows.where("n > 1"), "bucket-members")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= link
-    out = _small(full).where(near)
-    some = _members(rows, full.where(f"n between 4 and {bucket}").select("table", "key"))
-    pairs = some.select("table", "key", F.col("fp").alias("u")).join(some.select("table", "key", F.col("fp").alias("v")), ["table", "key"]).where(F.col("u") < F.col("v")).where(near)
-    out = out.union(pairs.select("u", "v"))
-    crowded = full.where(F.col("n") > max(3, bucket)).select("table", "key", "a")
-    if crowded.limit(1).count():
-        many = _members(rows, crowded)
-        # ranges of the fingerprint share out a bucket that holds much of the table
-        before = many.select(F.lag("fp").over(Window.partitionBy("table", "key", F.shiftright("fp", 48)).orderBy("fp")).alias("u"), F.col("fp").alias("v"))
-        out = out.union(many.select(F.col("a").alias("u"), F.col("fp").alias("v")).where("u <> v").where(near)).union(before.where("u is not null").where(near))
+    some = members.where(F.col("n") <= bucket)
+    pairs = some.select("table", "key", F.col("fp").alias("u")).join(some.select("table", "key", F.col("fp").alias("v")), ["table", "key"]).where(F.col("u") < F.col("v"))
+    # ranges of the fingerprint share out a bucket that holds much of the table
+    many = members.where(F.col("n") > bucket)
+    before = many.select(F.lag("fp").over(Window.partitionBy("table", "key", F.shiftright("fp", 48)).orderBy("fp")).alias("u"), F.col("fp").alias("v"))
+    out = pairs.select("u", "v").union(many.select(F.col("a").alias("u"), F.col("fp").alias("v")).where("u <> v")).union(before.where("u is not null")).where(near)
     return out.distinct()
 
 
