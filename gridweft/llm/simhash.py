@@ -13,7 +13,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -23,8 +23,6 @@ BUCKET = 64
 #: Copies of a fingerprint from which its documents take their component from a broadcast row: at most rows / HOT such rows exist.
 HOT = 100_000
 HASHES = 1 << 16
-#: Odd multiplier that makes a second fingerprint of the same hashes.
-MIX = 0x9E3779B97F4A7C15
 
 
 def word_hashes(text: bytes, words: int, seed: int = 42):
@@ -44,23 +42,13 @@ def word_hashes(text: bytes, words: int, seed: int = 42):
         yield np.array([digest(joined[i:j], seed) for i, j in zip(a, b)], np.uint64)
 
 
-def majorities(text: bytes | None, words: int, seed: int, mixes: tuple[int, ...] = (1,)) -> list[int]:
-    """The 64-bit majority of the hashes times each odd number; zeros for a null text or one without words."""
-    ones, n = np.zeros((len(mixes), 64), np.int64), 0
-    for h in word_hashes(text or b"", words, seed):
-        n += len(h)
-        for k, m in enumerate(mixes):
-            x = h
-            if m != 1:
-                x = (h ^ (h >> np.uint64(32))) * np.uint64(m)
-                x ^= x >> np.uint64(29)
-            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return [int(np.packbits(2 * o > n, bitorder="little").view(np.uint64)[0]) if n else 0 for o in ones]
-
-
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
     """The 64-bit majority fingerprint as an unsigned integer; 0 for a null text or one without words."""
-    return majorities(text, words, seed)[0]
+    ones, n = np.zeros(64, np.int64), 0
+    for h in word_hashes(text or b"", words, seed):
+        n += len(h)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,87 +165,8 @@ def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, link: int = 4,
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, words: int, seed: int = 42) -> DataFrame:
-    """(row, hashes): the distinct shingle hashes of each text; docs is (row, text as binary)."""
-    common.ship(docs.sparkSession)
-    schema = pa.schema([("row", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-
-    def run(batches):
-        for whole in batches:
-            for b in common.slices(whole, "text"):
-                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *word_hashes(t.as_py() or b"", words, seed)])).view(np.int64) for t in b.column(1)]
-                yield common.batch({"row": b.column(0), "hashes": pa.array(sets, pa.list_(pa.int64()))}, schema)
-
-    return docs.mapInArrow(run, "row long, hashes array<long>")
-
+def similar_groups(docs: DataFrame, **options) -> DataFrame:
+    """See similar.similar_groups."""
+    from . import similar
 
-def candidates(fps: DataFrame, radius: int, key_bits: int, link: int, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): pairs of distinct fingerprints that share a table's key and differ in at most link bits.
-
-    All pairs of a bucket of up to ``bucket`` fingerprints; in fuller ones each fingerprint is
-    paired with the bucket's smallest and with its predecessor of the same range, which keeps such buckets linear
-    and leaves the other pairs to the tables that part them.
-    """
-    own = Window.partitionBy("table", "key")
-    rows = keyed(fps, radius, key_bits).select("table", "key", "fp", F.count("*").over(own).alias("n"), F.min("fp").over(own).alias("a"))
-    members = common.written(rows.where("n > 1"), "bucket-members")
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= link
-    some = members.where(F.col("n") <= bucket)
-    pairs = some.select("table", "key", F.col("fp").alias("u")).join(some.select("table", "key", F.col("fp").alias("v")), ["table", "key"]).where(F.col("u") < F.col("v"))
-    # ranges of the fingerprint share out a bucket that holds much of the table
-    many = members.where(F.col("n") > bucket)
-    before = many.select(F.lag("fp").over(Window.partitionBy("table", "key", F.shiftright("fp", 48)).orderBy("fp")).alias("u"), F.col("fp").alias("v"))
-    out = pairs.select("u", "v").union(many.select(F.col("a").alias("u"), F.col("fp").alias("v")).where("u <> v")).union(before.where("u is not null")).where(near)
-    return out.distinct()
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, link: int = 18, second: int = 21, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs and ``kept``: one row of each group of near-duplicates is kept.
-
-    Candidates come from covering masks on fingerprints of word shingles: all pairs within radius
-    bits and, as each key keeps about log2(rows) + 3 of its mask's bits, most pairs far beyond it
-    are found; a second fingerprint of the same hashes must differ in at most ``second`` bits, which
-    unrelated pairs hardly do. A candidate is a link when the Jaccard similarity of both sets of shingles reaches
-    similarity; groups are the components of the links. The smallest id of a group is kept (null
-    ids last, of equal ids one row). Texts without words are alike. Rows of one fingerprint are
-    compared with the first of them. Columns of docs keep their names, values and order.
-    """
-    spark = docs.sparkSession
-    common.ship(spark)
-    taken = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    at = docs.columns.index(text_col)
-    frame = docs.select(*taken, F.monotonically_increasing_id().alias("row"))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
-
-    def run(batches):
-        for b in batches:
-            both = [majorities(None if (x := t.as_py()) is None else x.encode(), words, seed, (1, MIX)) for t in b.column(at)]
-            out = np.array(both, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out[:, 0]), pa.array(out[:, 1])], names=[*b.schema.names, "fp", "fp2"])
-
-    table = common.written(frame.mapInArrow(run, types + ", fp long, fp2 long"), "fingerprinted")
-    rows = table.select("row", "fp", "fp2")
-    fps = rows.groupBy("fp").agg(F.min("row").alias("first"), F.min_by("fp2", "row").alias("fp2"), F.count("*").alias("n"))
-    fps = common.written(fps, "distinct-fingerprints")
-    bits = max(18, int(np.ceil(np.log2(max(1, fps.count())))) + 3)
-    near = candidates(fps.select("fp"), radius, bits, link)
-    of = fps.select("fp", "first", "fp2")
-    across = near.join(of.toDF("u", "a", "p"), "u").join(of.toDF("v", "b", "q"), "v").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= second).select("a", "b")
-    shared = fps.where("n > 1").select("fp", "first")
-    inside = rows.select("row", "fp").join(shared, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    pairs = common.written(across.union(inside), "candidates")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = common.written(shingle_sets(table.join(used, "row", "left_semi").select("row", F.col(f"c{at}").cast("binary").alias("text")), words, seed), "shingles")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common_ = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common_
-    links_ = both.where((union == 0) | (common_ >= F.lit(similarity) * union)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = common.written(graph.components(links_), "groups")
-    idc = f"c{docs.columns.index(id_col)}"
-    named = roots.join(table.select(F.col("row").alias("node"), F.col(idc).alias("id")), "node")
-    order = F.struct(F.col("id").isNull().alias("z"), "id", "node")
-    stays = named.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.node").alias("node"))
-    gone = common.written(roots.select("node").join(stays, "node", "left_anti"), "dropped").select(F.col("node").alias("row"), F.lit(False).alias("kept"))
-    few = gone.count() <= common.BROADCAST_ROWS
-    out = table.join(F.broadcast(gone) if few else gone, "row", "left")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.coalesce("kept", F.lit(True)).alias("kept"))
+    return similar.similar_groups(docs, **options)
