@@ -1,7 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts of (source, language, topic) cells are raked to the target marginals of the three
-dimensions; documents are then sampled with their cell's calibrated probability.
+dimensions; documents are then sampled with their cell's calibrated probability. Few cells are
+raked by the driver, more as tables; every category is raked by itself in both ways.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Categories of source, language and topic that are raked by themselves; those with fewer tokens are raked together as OTHER.
-LIMITS = {"source": 500, "lang": 60, "topic": 20}
+#: Categories of source, language and topic, and cells, up to which the driver rakes; beyond, tables are raked. Nothing is pooled as OTHER.
+LIMITS, CELLS = {"source": 500, "lang": 60, "topic": 20}, 100_000
 OTHER, NULL = "(other)", "(null)"
 #: Power of the natural shares that makes the default targets; share of all tokens that is kept.
 POWER, KEEP = 0.8, 0.9
@@ -72,23 +73,24 @@ def probabilities(tokens: np.ndarray, weights: np.ndarray, keep: float) -> np.nd
     return np.minimum(1, hi * rate)
 
 
-def plan(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, power: float = POWER) -> tuple[DataFrame, dict[str, list[str]]]:
-    """(source, lang, topic, weight, probability) per cell of described rows, and each dimension's raked names.
+def plan(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, power: float = POWER) -> DataFrame:
+    """(source, lang, topic, weight, probability) per cell of described rows.
 
     targets gives shares by dimension and name; names it leaves out, and dimensions it leaves
-    out, take their natural share to the power. The cells number at most the product of LIMITS
-    plus one each, and the driver holds a row of each.
+    out, take their natural share to the power. The driver holds the cells while they and the
+    categories are within CELLS and LIMITS; else they are raked as tables.
     """
-    named: dict[str, list[str]] = {}
-    for d, most in LIMITS.items():
-        top = rows.groupBy(f"gw_{d}").agg(F.sum("gw_tokens").alias("n")).orderBy(F.desc("n"), f"gw_{d}").limit(most).collect()
-        named[d] = [r[0] for r in top]
-    cells = rows.groupBy(*[cell(d, named).alias(d) for d in LIMITS]).agg(F.sum("gw_tokens").alias("n")).orderBy(*LIMITS).collect()
+    table = common.written(rows.groupBy(*[F.col(f"gw_{d}").alias(d) for d in LIMITS]).agg(F.sum("gw_tokens").alias("n")), "cells")
+    sizes = table.agg(F.count("*").alias("cells"), *[F.count_distinct(d).alias(d) for d in LIMITS]).first()
+    if sizes.cells > CELLS or any(sizes[d] > most for d, most in LIMITS.items()):
+        return table_probabilities(rake_tables(table, {d: table_targets(table, d, (targets or {}).get(d, {}), power) for d in LIMITS}), keep)
+    cells = table.orderBy(*LIMITS).collect()
     n = np.array([r.n for r in cells], float)
     codes, wanted = [], []
     for d in LIMITS:
         names = sorted({r[d] for r in cells})
-        code = np.array([names.index(r[d]) for r in cells], np.int64) if len(names) < 64 else np.array([{x: i for i, x in enumerate(names)}[r[d]] for r in cells], np.int64)
+        place = {x: i for i, x in enumerate(names)}
+        code = np.array([place[r[d]] for r in cells], np.int64)
         natural = np.bincount(code, n, len(names)) ** power if len(names) else np.zeros(0)
         share = natural / max(natural.sum(), 1e-300)
         given = (targets or {}).get(d, {})
@@ -98,17 +100,65 @@ def plan(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, ke
         wanted.append(share / max(share.sum(), 1e-300))
     w = rake(n, codes, wanted)
     p = probabilities(n, w, keep)
-    out = rows.sparkSession.createDataFrame([(*[r[d] for d in LIMITS], float(a), float(b)) for r, a, b in zip(cells, w, p)], "source string, lang string, topic string, weight double, probability double")
-    return out, named
+    return rows.sparkSession.createDataFrame([(*[r[d] for d in LIMITS], float(a), float(b)) for r, a, b in zip(cells, w, p)], "source string, lang string, topic string, weight double, probability double")
 
 
-def cell(d: str, named: dict[str, list[str]]) -> Column:
-    names = named[d]
-    return F.when(F.col(f"gw_{d}").isin(names), F.col(f"gw_{d}")).otherwise(OTHER) if names else F.lit(OTHER)
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= common.BROADCAST_ROWS else df
+
+
+def table_targets(cells: DataFrame, d: str, given: dict[str, float], power: float) -> DataFrame:
+    """(d, target): the shares of all categories of a dimension, as in plan()."""
+    fixed = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{d} string, given double")
+    names = cells.groupBy(d).agg(F.sum("n").cast("double").alias("n")).join(fixed, d, "left").withColumn("free", F.when(F.col("given").isNull(), F.pow("n", F.lit(power))).otherwise(0.0))
+    names = common.written(names, "categories")
+    free, told = (x or 0.0 for x in names.agg(F.sum("free"), F.sum("given")).first())
+    rest = max(0.0, 1 - told)
+    total = told + (rest if free else 0.0)
+    return names.select(d, ((F.coalesce("given", F.lit(0.0)) + F.col("free") * (rest / max(free, 1e-300))) / max(total, 1e-300)).alias("target"))
+
+
+def rake_tables(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 500, tolerance: float = 1e-9) -> DataFrame:
+    """(source, lang, topic, n, weight): rake() with the cells and marginals of each step as tables of the shared folder."""
+    total = float(cells.agg(F.sum("n")).first()[0])
+    now = common.written(cells.withColumn("weight", F.col("n") / F.lit(total)).withColumn("before", F.col("weight")), "raked")
+    for _ in range(rounds):
+        for d, target in targets.items():
+            have = now.groupBy(d).agg(F.sum("weight").alias("have"))
+            factor = common.written(have.join(target, d).select(d, F.when(F.col("have") > 0, F.col("target") / F.col("have")).otherwise(0.0).alias("factor")), "factors")
+            after = now.join(small(factor), d).select(*LIMITS, "n", (F.col("weight") * F.col("factor")).alias("weight"), "before")
+            last, now = now, common.written(after, "raked")
+            common.remove(last)
+            common.remove(factor)
+        moved = now.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
+        if moved < tolerance:
+            break
+        now = now.withColumn("before", F.col("weight"))
+    return now.select(*LIMITS, "n", "weight")
+
+
+def table_probabilities(raked: DataFrame, keep: float, steps: int = 64) -> DataFrame:
+    """(source, lang, topic, weight, probability): probabilities() of a table, with steps scales tried at once."""
+    total = float(raked.agg(F.sum("n")).first()[0])
+    share = F.col("n") / F.lit(total)
+    rate = F.col("weight") / share
+    reach = raked.agg(F.sum(F.when(F.col("weight") > 0, share))).first()[0] or 0.0
+    if keep >= reach:
+        return raked.select(*LIMITS, "weight", (F.col("weight") > 0).cast("double").alias("probability"))
+    expected = lambda scales: raked.agg(*[F.sum(share * F.least(F.lit(1.0), F.lit(float(x)) * rate)) for x in scales]).first()
+    lo, hi = 0.0, 1.0
+    while max(found := expected([hi * 2**k for k in range(steps)])) < keep:
+        lo, hi = hi * 2 ** (steps - 1), hi * 2**steps
+    hi *= 2 ** next(k for k, x in enumerate(found) if x >= keep)
+    for _ in range(8):
+        scales = np.linspace(lo, hi, steps + 1)[1:]
+        at = next((k for k, x in enumerate(expected(scales)) if x >= keep), steps - 1)
+        lo, hi = scales[at - 1] if at else lo, scales[at]
+    return raked.select(*LIMITS, "weight", F.least(F.lit(1.0), F.lit(float(hi)) * rate).alias("probability"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, keep_columns: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
-    """One row per row of docs: id_col, source, lang, topic (as raked), tokens, weight, probability, sampled.
+    """One row per row of docs: id_col, source, lang, topic, tokens, weight, probability, sampled.
 
     With keep_columns instead the columns of docs and ``sampled``. weight is the cell's raked
     share of all tokens, probability its documents' chance, sampled the draw, which depends on
@@ -118,11 +168,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, kee
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if keep_columns else [F.col(f"`{id_col}`").alias("c0")]
     args = (id_col, text_col, source_col, lang_col, topic_col)
     narrow = common.written(described(docs, *args, [F.col(f"`{id_col}`").alias("c0")]), "described")
-    chances, named = plan(narrow, targets, keep)
+    chances = plan(narrow, targets, keep)
     rows = described(docs, *args, own) if keep_columns else narrow
-    for d in LIMITS:
-        rows = rows.withColumn(d, cell(d, named))
-    rows = rows.join(F.broadcast(chances), list(LIMITS), "left")
+    rows = rows.withColumnsRenamed({f"gw_{d}": d for d in LIMITS}).join(small(chances), list(LIMITS), "left")
     sampled = F.coalesce(F.col("gw_u") < F.col("probability"), F.lit(False)).alias("sampled")
     if keep_columns:
         return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], sampled)
