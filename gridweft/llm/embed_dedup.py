@@ -1,9 +1,8 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by comparing all pairs of a label, block by block.
 
-A pass gives every vector a key of concatenated random sign hashes, orders the vectors of one
-label lexicographically by it and compares each with its neighbours. The window goes on block by
-block as long as blocks still hold linked pairs, so dense neighbourhoods are compared in full
-and others to a bounded distance. Verified pairs of all passes are united.
+The vectors of a label are dealt into blocks, and every pair of blocks is a unit that any task
+may take: one matrix product. No link is missed whatever the vectors' distribution; the work
+grows with the square of a label, the rows sent with its square over the block.
 """
 
 from __future__ import annotations
@@ -17,89 +16,64 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-#: Least cosine of a link; vectors of a block (a window spans one to two blocks); share of links that may be missed by the estimate of passes().
-COSINE, BLOCK, MISS = 0.93, 128, 1e-4
-SEED = 20
+#: Least cosine of a link; vectors of a block, and those multiplied at once.
+COSINE, BLOCK, STEP = 0.93, 4096, 512
 #: Rows of a class from which it is joined by broadcast.
 HOT = 100_000
 
 
-def passes(rows: int, cosine: float = COSINE, block: int = BLOCK, miss: float = MISS) -> int:
-    """Passes after which a pair at the least cosine was within a window with probability 1 - miss.
+def passes(rows: int, cosine: float = COSINE, block: int = 128, miss: float = 1e-4) -> int:
+    """Sorted passes of sign hashes that would find a pair at the least cosine with probability 1 - miss.
 
-    Two such vectors share a sign hash with probability 1 - angle / pi; within a window they must
-    share about log2(rows / block) of them. Grows as a small power of the rows.
+    Holds only for vectors that every plane through the origin halves; near_dedup doesn't use it.
     """
     bits = max(0.0, math.log2(max(1, rows) / block)) + 1
     hit = (1 - math.acos(cosine) / math.pi) ** bits
     return max(4, math.ceil(math.log(miss) / math.log1p(-min(hit, 1 - 1e-9))))
 
 
-def _keys(x: np.ndarray, number: int, seed: int) -> list[np.ndarray]:
-    """One unsigned 64-bit key of sign hashes a pass for the rows of x."""
-    dim, out = x.shape[1], []
-    for p in range(number):
-        planes = np.random.default_rng([seed, p, dim]).normal(size=(dim, 64))
-        bits = (x @ planes) > 0
-        out.append(np.packbits(bits, axis=1, bitorder="big").view(">u8").ravel().astype(np.uint64))
-    return out
-
-
-def _pairs(groups, cosine: float):
-    """Linked pairs (ids i < j) of blocks that come in sorted order; groups yields (ids, unit vectors, whether a new label starts)."""
-    open_: list[tuple[np.ndarray, np.ndarray]] = []
-    for ids, x, fresh in groups:
-        if fresh:
-            open_ = []
-        still = []
-        for k, (other, y) in enumerate([*open_, (ids, x)]):
-            near = y @ x.T >= cosine
-            if other is ids:
-                near = np.triu(near, 1)
-            i, j = np.nonzero(near)
-            if len(i):
-                a, b = other[i], ids[j]
-                yield np.minimum(a, b), np.maximum(a, b)
-            if len(i) or other is ids:
-                still.append((other, y))
-        open_ = still
-
-
-def _blocks(batches, size: int):
-    """Cut sorted Arrow batches into blocks of one (pass, label, dimension)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    last = None
+def _linked(ids: list[np.ndarray], x: list[np.ndarray], cosine: float):
+    """Linked pairs (ids i < j) within one block, or between two; x are unit vectors."""
+    for at in range(0, len(ids[0]), STEP):
+        near = x[0][at : at + STEP] @ x[-1].T >= cosine
+        if len(ids) == 1:
+            near = np.triu(near, at + 1)
+        i, j = np.nonzero(near)
+        if len(i):
+            a, b = ids[0][at + i], ids[-1][j]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
+def _units(batches):
+    """(whether both blocks are one, their ids, their unit vectors) of sorted rows (label, dim, i, j, part, id, v)."""
+    last, held = None, {}
+
+    def whole():
+        parts = [[np.concatenate([h[k] for h in held[p]]) for k in (0, 1)] for p in sorted(held)]
+        return last[2] == last[3], [p[0] for p in parts], [p[1] for p in parts]
+
     for b in batches:
-        group = np.stack([np.asarray(b.column(i)) for i in range(3)], 1)
-        ids = np.asarray(b.column(3))
-        values, at = b.column(4).flatten(), 0
+        if not b.num_rows:
+            continue
+        labels = b.column(0).dictionary_encode()
+        group = np.stack([np.asarray(labels.indices), *[np.asarray(b.column(k)) for k in range(1, 5)]], 1)
+        names, ids, values, at = labels.dictionary.to_pylist(), np.asarray(b.column(5)), b.column(6).flatten(), 0
         cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), len(ids)]
         for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            dim = int(group[lo, 2])
+            name, dim, i, j, part = group[lo].tolist()
             x = np.asarray(values.slice(at, (hi - lo) * dim), np.float64).reshape(-1, dim)
             at += (hi - lo) * dim
-            x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            now = tuple(group[lo])
+            now = (names[name], dim, i, j)
             if now != last:
                 if held:
-                    yield *_merged(held), fresh
-                held, last, fresh = [], now, True
-            held.append((ids[lo:hi], x))
-            while sum(len(h[0]) for h in held) >= size:
-                i, v = _merged(held)
-                yield i[:size], v[:size], fresh
-                held, fresh = ([(i[size:], v[size:])] if len(i) > size else []), False
+                    yield whole()
+                last, held = now, {}
+            held.setdefault(part, []).append((ids[lo:hi], x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]))
     if held:
-        yield *_merged(held), fresh
+        yield whole()
 
 
-def _merged(held):
-    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-
-
-def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, number: int | None = None, seed: int = SEED, hot: int = HOT, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, hot: int = HOT, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for every row of vectors.
 
     Only vectors of one label and length are compared, by cosine in double precision. Null, empty
@@ -115,34 +89,23 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, n
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda c: c != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda c: c + F.lit(0.0))))  # -0.0 becomes 0.0
     classes = common.written(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    number = passes(largest, cosine, block) if number is None else number
-    keyed_schema = pa.schema([("pass", pa.int64()), ("label", pa.int64()), ("dim", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
-
-    def keys(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                dims = np.asarray(b.column(3))
-                for dim in np.unique(dims):
-                    c = b.filter(pa.array(dims == dim))
-                    x = np.asarray(c.column(2).flatten(), np.float64).reshape(-1, dim)
-                    for p, k in enumerate(_keys(x, number, seed)):
-                        n = c.num_rows
-                        # the sign flip makes signed order that of the unsigned keys
-                        yield common.batch({"pass": np.full(n, p), "label": c.column(0), "dim": np.full(n, int(dim)), "key": (k ^ np.uint64(1 << 63)).view(np.int64), "id": c.column(1), "v": c.column(2)}, keyed_schema)
-
+    counts = classes.groupBy("label", F.size("v").cast("long").alias("dim")).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    few = counts.count() <= common.BROADCAST_ROWS
+    placed = classes.select("label", F.size("v").cast("long").alias("dim"), F.col("rep").alias("id"), "v").join(F.broadcast(counts) if few else counts, ["label", "dim"])
+    placed = placed.withColumn("b", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    unit = ["label", "dim", "i", "j"]
+    units = placed.select("label", "dim", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), (F.col("b") > F.col("other")).cast("long").alias("part"), "id", "v")
     pair_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(batches):
-        for a, b in _pairs(_blocks((c for c in batches if c.num_rows), block), cosine):
-            yield common.batch({"u": a, "v": b}, pair_schema)
-
-    keyed = classes.select(F.xxhash64("label").alias("label"), "rep", "v", F.size("v").cast("long").alias("dim")).mapInArrow(keys, "pass long, label long, dim long, key long, id long, v array<double>")
-    order = ["pass", "label", "dim", "key", "id"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), number)
-    placed = keyed.repartitionByRange(parts, *order[:4]).sortWithinPartitions(*order)
-    pairs = common.written(placed.select("pass", "label", "dim", "id", "v").mapInArrow(compare, "u long, v long").distinct(), "pairs")
+        for same, ids, x in _units(batches):
+            if same or len(ids) == 2:
+                for a, b in _linked(ids, x, cosine):
+                    yield common.batch({"u": a, "v": b}, pair_schema)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = units.repartition(parts, *unit).sortWithinPartitions(*unit, "part")
+    pairs = common.written(placed.mapInArrow(compare, "u long, v long").distinct(), "pairs")
     roots = graph.components(pairs)
     sizes = classes.select("rep", F.col("size").alias("s"))
     both = pairs.union(pairs.select("v", "u"))
