@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -91,14 +91,16 @@ def nodes(tree: Tree, breadth_first: bool = False) -> list[Tree]:
 
 
 def tiles_by_level(raster: Raster) -> DataFrame:
-    """(te, tx, ty, leaf) of all nodes, coarse to fine, then in Morton order of the unsigned low bits."""
+    """(te, tx, ty, leaf) of all nodes, coarse to fine, then in Morton order."""
     low = with_tiles(raster.df, raster.split).select("te", "tx", "ty").distinct().withColumn("leaf", F.lit(True))
     both = low.unionByName(inner_nodes(raster).withColumn("leaf", F.lit(False)))
-    morton = F.lit(0).cast("long")
-    for bit in range(24):
-        for k, c in enumerate(("tx", "ty")):
-            morton = morton.bitwiseOR(F.shiftleft(F.shiftright(c, bit).bitwiseAND(F.lit(1).cast("long")), 2 * bit + k))
-    return both.orderBy(F.desc("te"), morton)
+    return both.orderBy(F.desc("te"), morton("tx", "ty"))
+
+
+def morton(x: str, y: str) -> Column:
+    """All bits of two longs interleaved, y before x, as a string that sorts in Morton order of the unsigned values."""
+    bits = lambda c: F.split(F.lpad(F.bin(c), 64, "0"), "")
+    return F.array_join(F.zip_with(bits(y), bits(x), lambda a, b: F.concat(a, b)), "")
 
 
 def level_counts(df: DataFrame, layer: str | None = None) -> DataFrame:

@@ -52,22 +52,24 @@ def merge_layers(patches: DataFrame) -> DataFrame:
     return patches.groupBy(*CELL).agg(*aggs)
 
 
-def flatten_layers(patches: DataFrame, exponents: tuple[int, ...]) -> DataFrame:
+def flatten_layers(patches: DataFrame, exponents: tuple[int, ...], rank: str | None = None) -> DataFrame:
     """All patches at the finest exponent, painted from coarse to fine; of one exponent the last writer wins.
 
-    An undefined value never paints over a defined one. The exponents are those that occur.
+    An undefined value never paints over a defined one. The exponents are those that occur; rank
+    names a column with the exponent that a row is painted by where that isn't its own.
     """
     finest = min(exponents)
     types = _schema_types(patches)
-    rows = patches.withColumn("_e", F.col("e"))
+    names = [n for n in layer_names(patches) if n != rank]
+    rows = patches.withColumn("_e", F.col(rank or "e"))
     parts = None
     for e in sorted(set(exponents)):
         own = rows.where(F.col("e") == e)
         own = own if e == finest else supersample(own, finest)
-        own = own.select(*CELL, "patch_seq", "_e", *layer_names(patches))
+        own = own.select(*CELL, "patch_seq", "_e", *names)
         parts = own if parts is None else parts.unionByName(own)
     aggs = []
-    for n in layer_names(patches):
+    for n in names:
         gone = semantic(n, types[n]).undefined(F.col(n))
         aggs.append(F.max_by(n, F.struct((~F.col(n).isNull()).cast("int").alias("z"), (~gone).cast("int").alias("d"), (-F.col("_e")).alias("f"), F.col("patch_seq").alias("s"))).alias(n))
     return parts.groupBy(*CELL).agg(*aggs)

@@ -30,17 +30,14 @@ class Dominance(Enum):
         return {Dominance.FIRST: Dominance.SECOND, Dominance.SECOND: Dominance.FIRST, Dominance.MORE_DETAILED_OR_FIRST: Dominance.MORE_DETAILED_OR_SECOND, Dominance.MORE_DETAILED_OR_SECOND: Dominance.MORE_DETAILED_OR_FIRST}[self]
 
 
-def _keys(df: DataFrame, level: int) -> DataFrame:
-    return df.where(F.col("e") <= level).select(*[c.alias(n) for c, n in zip(cells.ancestor(level), ("kx", "ky"))]).distinct()
-
-
 def _uncovered(y: DataFrame, x: DataFrame, ex: tuple[int, ...], ey: tuple[int, ...]) -> DataFrame:
-    """Rows of y in no cell of x: one anti-join for each exponent of x that can hold a cell of y."""
+    """Rows of y in no cell of x: one anti-join for each exponent of x that can hold a cell of y. Rows too coarse for a level keep keys of their own, which spreads them."""
     for level in ex:
         if level >= min(ey):
-            own = x.where(F.col("e") == level).select(F.col("x").alias("kx"), F.col("y").alias("ky"))
-            ax, ay = cells.ancestor(level)
-            y = y.withColumn("kx", F.when(F.col("e") <= level, ax)).withColumn("ky", F.when(F.col("e") <= level, ay)).join(own, ["kx", "ky"], "left_anti").drop("kx", "ky")
+            own = x.where(F.col("e") == level).select(F.lit(level).alias("ke"), F.col("x").alias("kx"), F.col("y").alias("ky"))
+            at = F.greatest(F.col("e"), F.lit(level))
+            ax, ay = cells.shift(F.col("x"), at - F.col("e")), cells.shift(F.col("y"), at - F.col("e"))
+            y = y.withColumns({"ke": at, "kx": ax, "ky": ay}).join(own, ["ke", "kx", "ky"], "left_anti").drop("ke", "kx", "ky")
     return y
 
 

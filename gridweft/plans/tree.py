@@ -75,6 +75,10 @@ class Tree:
         """The tree with a layer's meaning changed: unchanged where it lacks the layer, an error where new exists."""
         raise NotImplementedError
 
+    def in_memory(self) -> Tree:
+        """The tree with the samples of its bases kept by the executors; unpersist their df to let them go."""
+        raise NotImplementedError
+
     def root_cell(self) -> Cell | None:
         box = self.bounding_box()
         return None if box is None else Cell.of_box(box)
@@ -141,7 +145,6 @@ class Raster(Tree):
         return replace(self, df=kept, box=own, id=str(uuid.uuid4()))
 
     def in_memory(self) -> Raster:
-        """The raster with its samples kept by the executors; unpersist its df to let them go."""
         return replace(self, df=self.df.persist())
 
     def with_layers(self, *names: str) -> Raster:
@@ -186,6 +189,9 @@ class Merge(Tree):
             return a.unionByName(b, allowMissingColumns=True), tuple(sorted({*e1, *e2}))
         return overlay(a, b, e1, e2, self.dominance)
 
+    def in_memory(self) -> Merge:
+        return replace(self, first=self.first.in_memory(), second=self.second.in_memory())
+
     def renamed(self, old: str, new: str) -> Merge:
         if old not in self.layers:
             return self
@@ -213,6 +219,9 @@ class Link(Tree):
     def resolved(self, box: Box | None = None, only: Predicate | None = None) -> tuple[DataFrame, tuple[int, ...]]:
         return self.target.resolved(box, only)
 
+    def in_memory(self) -> Link:
+        return replace(self, target=self.target.in_memory())
+
     def renamed(self, old: str, new: str) -> Link:
         return Link(self.target.renamed(old, new), self.id)
 
@@ -231,6 +240,9 @@ class _Empty(Tree):
         schema = "e int, x long, y long, src_e int, src_x long, src_y long"
         return SparkSession.active().createDataFrame([], schema), ()
 
+    def in_memory(self) -> Tree:
+        return self
+
     def renamed(self, old: str, new: str) -> Tree:
         return self
 
@@ -289,6 +301,29 @@ def query(tree: Tree, predicate: Predicate, min_exponent: int | None = None, fil
     return df.where(predicate.keep(es))
 
 
+def per_tile(tree: Tree, make, schema: str, predicate: Predicate | None = None) -> DataFrame:
+    """Rows that make(tile, samples) gives for every leaf tile of the tree's bases that has samples: a pandas frame, or None for nothing.
+
+    tile is (te, tx, ty); samples is a pandas frame (e, x, y, layers) of at most 4^split rows a base exponent.
+    """
+    def of(names: list[str]):
+        def run(key, frame):
+            import pandas as pd
+
+            found = make(tuple(int(k) for k in key), frame[names])
+            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(",")]) if found is None else found
+
+        return run
+
+    out = None
+    for r in tree.bases():
+        df, es = r.resolved(predicate.box if predicate else None)
+        rows = with_tiles((df.where(predicate.keep(es)) if predicate else df).select(*CELL, *r.layers), r.split)
+        own = rows.groupBy("te", "tx", "ty").applyInPandas(of([*CELL, *r.layers]), schema)
+        out = own if out is None else out.union(own)
+    return EMPTY.samples.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 def full(tree: Tree) -> DataFrame:
     """All samples of all bases, whoever dominates."""
     out = None

@@ -98,17 +98,21 @@ def to_array(df: DataFrame, mapping: DataMapping, layer: str, hole=None) -> list
     return out
 
 
+def in_order(lines: DataFrame) -> DataFrame:
+    """Adds seq, a struct that orders lines read from files: file, start of the split, line in the task that reads the split in order."""
+    return lines.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
+
+
 def read_points(spark: SparkSession, path: str, columns: dict[str, int], separator: str = " ", header: bool = True) -> DataFrame:
-    """Rows (seq, name...) of a separated point file; columns gives each name's place. seq follows the file's lines."""
-    raw = spark.read.csv(path, sep=separator, header=False, inferSchema=False)
-    raw = raw.withColumn("seq", F.monotonically_increasing_id())
+    """Rows (seq, name...) of separated point files; columns gives each name's place. seq follows the files by name, and their lines, however they are split."""
+    raw = in_order(spark.read.csv(path, sep=separator, header=False, inferSchema=False))
     rows = raw.select("seq", *[F.col(f"_c{i}").try_cast("double").alias(n) for n, i in columns.items()])
     return rows.where(F.col(next(iter(columns))).isNotNull()) if header else rows
 
 
 def read_polygon(spark: SparkSession, path: str) -> list[tuple[float, float]]:
     """Vertices of a comma-separated file, one a line."""
-    rows = spark.read.csv(path, schema="x double, y double").withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect()
+    rows = in_order(spark.read.csv(path, schema="x double, y double")).orderBy("seq").collect()
     return [(r.x, r.y) for r in rows]
 
 

@@ -19,37 +19,45 @@ from ..operators.overlay import CELL, SOURCE, Dominance
 from ..plans.tree import EMPTY, Link, Merge, Raster, Tree, with_tiles
 
 VERSION = 1
+#: Partition of a patch table that holds what was appended at once.
+PART = "gridweft_part"
 
 
-class Store:
-    """A store at a path; without one, in memory for this session (cached, gone with it)."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, cache: bool = False):
-        self.spark, self.path, self.cache = spark, path.rstrip("/") if path else None, cache
-        self._trees: dict[str, Tree] = {}
-        self._kept: dict[str, DataFrame] = {}
+class Files:
+    """How a store keeps its small files: any file system that Hadoop knows. Give a Store another one with these three methods to keep them elsewhere."""
 
-    # file access through Hadoop, so that any configured file system works
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
 
-    def _fs(self, path: str):
+    def _of(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
+    def exists(self, path: str) -> bool:
+        fs, p = self._of(path)
         return fs.exists(p)
 
-    def _put(self, path: str, text: str) -> None:
-        fs, p = self._fs(path)
+    def save(self, path: str, text: str) -> None:
+        fs, p = self._of(path)
         out = fs.create(p, True)
         out.write(bytearray(text.encode()))
         out.close()
 
-    def _get(self, path: str) -> str:
+    def load(self, path: str) -> str:
         return self.spark.read.text(path, wholetext=True).first()[0]
 
+
+class Store:
+    """A store at a path; without one, in memory for this session (cached, gone with it). files keeps the manifests."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, cache: bool = False, files: Files | None = None):
+        self.spark, self.path, self.cache = spark, path.rstrip("/") if path else None, cache
+        self.files = files or Files(spark)
+        self._trees: dict[str, Tree] = {}
+        self._kept: dict[str, DataFrame] = {}
+
     def exists(self, tree_id: str) -> bool:
-        return tree_id in self._trees if self.path is None else self._exists(f"{self.path}/trees/{tree_id}.json")
+        return tree_id in self._trees if self.path is None else self.files.exists(f"{self.path}/trees/{tree_id}.json")
 
     def save(self, tree: Tree) -> str:
         """Keep a tree and with it all trees below; returns its id."""
@@ -63,7 +71,7 @@ class Store:
             return tree.id
         for t in nodes(tree)[::-1]:  # what a manifest names is there before it
             if not self.exists(t.id):
-                self._put(f"{self.path}/trees/{t.id}.json", json.dumps({"version": VERSION, "plan": self._plan(t)}))
+                self.files.save(f"{self.path}/trees/{t.id}.json", json.dumps({"version": VERSION, "plan": self._plan(t)}))
         return tree.id
 
     def _plan(self, tree: Tree) -> dict:
@@ -73,7 +81,7 @@ class Store:
             return {"op": "link", "id": tree.id, "target": self._plan(tree.target)}
         if isinstance(tree, Raster):
             where = f"{self.path}/rasters/{tree.id}"
-            if not self._exists(f"{where}/_SUCCESS"):
+            if not Files(self.spark).exists(f"{where}/_SUCCESS"):
                 rows = with_tiles(tree.df, tree.split)
                 rows.repartitionByRange("te", "tx", "ty").sortWithinPartitions("te", "tx", "ty", "y", "x").write.mode("overwrite").parquet(where)
             b = tree.box
@@ -86,7 +94,7 @@ class Store:
             return EMPTY
         if self.path is None:
             return self._trees[tree_id]
-        return self._tree(json.loads(self._get(f"{self.path}/trees/{tree_id}.json"))["plan"])
+        return self._tree(json.loads(self.files.load(f"{self.path}/trees/{tree_id}.json"))["plan"])
 
     def _tree(self, p: dict) -> Tree:
         if p["op"] == "merge":
@@ -124,15 +132,35 @@ class Store:
 
     # patches
 
-    def save_patches(self, patches: DataFrame, name: str | None = None) -> str:
-        """Append rows (patch_seq, e, x, y, layers), partitioned by exponent."""
+    def save_patches(self, patches: DataFrame, name: str | None = None, part: str | None = None) -> str:
+        """Append rows (patch_seq, e, x, y, layers), partitioned by exponent. A part that is there already is replaced."""
         name = name or str(uuid.uuid4())
-        patches.write.mode("append").partitionBy("e").parquet(f"{self.path}/patches/{name}")
+        patches.write.mode("overwrite").partitionBy("e").parquet(f"{self.path}/patches/{name}/{PART}={part or 'p' + uuid.uuid4().hex}")
         return name
 
     def load_patches(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.path}/patches/{name}").withColumn("e", F.col("e").cast("int"))
-        return df.select("patch_seq", *CELL, *[c for c in df.columns if c not in ["patch_seq", *CELL, *SOURCE]])
+        return df.select("patch_seq", *CELL, *[c for c in df.columns if c not in ["patch_seq", *CELL, *SOURCE, PART]])
+
+    def export_patches(self, target: Store, name: str) -> str:
+        """Copy a patch table to another store, under its name; returns the path of its key file, which import_patches() takes."""
+        target.save_patches(self.load_patches(name), name, "exported")
+        return target.key_file(name)
+
+    def import_patches(self, source: Store, key: str) -> str:
+        """Copy the patch table of a key file from another store; returns its name."""
+        name = source.named(key)
+        return self.save_patches(source.load_patches(name), name, "imported")
+
+    def key_file(self, name: str) -> str:
+        """Write the key file of a patch table; returns its path."""
+        path = f"{self.path}/patch-keys/{name}.json"
+        self.files.save(path, json.dumps({"version": VERSION, "patches": name}))
+        return path
+
+    def named(self, key: str) -> str:
+        """The patch table that a key file names."""
+        return json.loads(self.files.load(key))["patches"]
 
     def patch_exponents(self, name: str) -> tuple[int, ...]:
         return tuple(sorted(r[0] for r in self.load_patches(name).select("e").distinct().collect()))
