@@ -49,3 +49,21 @@ def test_sql_agrees_on_a_table(spark, tmp_path):
     got = sorted(tuple(r) for r in exact_dedup.dedup(spark.read.parquet(path)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
     duckdb.sql(f"create or replace view documents as select * from '{path}'")
     assert got == sorted(duckdb.sql(exact_dedup.ORACLE).fetchall())
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_texts_are_range_partitioned_and_shuffled_once(spark, hot):
+    rows = [(i, "hot" if hot and i % 2 else f"text {i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = exact_dedup.dedup(df)._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window") :]
+    if hot:  # the hot groups' aggregate stands beside the window
+        window = window[: window.index("BroadcastExchange")] if "BroadcastExchange" in window else window
+    assert "rangepartitioning(head" in window and "hashpartitioning(head" not in plan
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_and_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "a b", 1, "x", "y"), (2, "ab", 2, "x", "y")], "doc_id long, text string, kept int, `a.b` string, salt string")
+    out = exact_dedup.dedup(df, keep_columns=True)
+    assert [tuple(r) for r in out.where("kept").select("row.*").collect()] == [(1, "a b", 1, "x", "y")]
