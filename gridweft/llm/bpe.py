@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Code points of a text, and bytes of a single match, that are encoded in one call at a leaf.
-LEAF, PIECE = 1 << 15, 1024
+LEAF, PIECE = 1 << 10, 128
 _CUT = regex.compile(r"[^\s\x1c-\x1f](?=[ \n])")
 
 
@@ -136,7 +136,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(id_col, n_tokens, ids_sha256, decoded_sha256[, ids]): every whole text encoded, and its ids decoded again.
 
     Null counts as the empty text, which has no token. Rows are independent: repeated rows, ties
-    and null ids give a row each; other columns are not read. with_ids adds the ids themselves.
+    and null ids give a row each; texts of any length are encoded whole, an empty table gives no rows;
+    other columns, whatever they are called, are not read. with_ids adds the ids themselves.
     """
     common.ship(docs.sparkSession)
     fields = [("id", pa.int64()), ("n", pa.int64()), ("ids_sha", pa.string()), ("decoded_sha", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
@@ -158,5 +159,5 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 lists = {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(kept)))} if with_ids else {}
                 yield common.batch({"id": b.column(0), "n": n, "ids_sha": ids_sha, "decoded_sha": decoded_sha} | lists, schema)
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, ids_sha string, decoded_sha string" + ", ids array<int>" * with_ids)
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.lean(run), "id long, n long, ids_sha string, decoded_sha string" + ", ids array<int>" * with_ids)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("ids_sha").alias("ids_sha256"), F.col("decoded_sha").alias("decoded_sha256"), *["ids"] * with_ids)
