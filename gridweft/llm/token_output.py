@@ -35,13 +35,17 @@ class Encoder:
     White space never enters a token, so blank-separated chunks encode on their own and are
     cached. Chunks of ASCII and Latin-1 letters without apostrophes are cut into the pattern's
     matches here and only merged by the library; all others go through its whole ``encode``.
+    A text that may hold an added token of the file ("<|endoftext|>") goes through the library as a
+    whole, which gives it that token's id; with special_as_text such strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -73,7 +77,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian integers of self.dtype."""
-        if _ODD.search(text) or not self.known:
+        if not self.known or _ODD.search(text) or (self.added and self.added.search(text)):
             return self._whole(text)
         chunks, cache = text.split(), self.chunks
         for c in set(chunks).difference(cache):
@@ -187,6 +191,8 @@ def write(docs: DataFrame, tokenizer: str, directory: str | None = None, length:
     Returns the folder and a row (shard, ids before it, documents) for each shard that has
     documents: at most as many as shuffle partitions. Null texts count as empty; null ids come
     first; rows of one id are ordered by their text's hash. Shards are range partitions of the id.
+    Texts of any length are encoded whole; an empty table leaves a manifest without shards. Only the
+    two columns are read, whatever else docs has.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -211,7 +217,7 @@ def write(docs: DataFrame, tokenizer: str, directory: str | None = None, length:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    found = sorted(tuple(r) for r in placed.mapInArrow(run, "shard long, tokens long, docs long").collect())
+    found = sorted(tuple(r) for r in placed.mapInArrow(common.lean(run), "shard long, tokens long, docs long").collect())
     out, before = [], 0
     for shard, tokens, n in found:
         out.append((shard, before, n))
@@ -239,4 +245,4 @@ def read(spark: SparkSession, directory: str, shards: list[tuple[int, int, int]]
                 yield common.batch(rows, schema)
 
     listed = spark.createDataFrame([s[:2] for s in shards], "shard long, start long").repartition(max(1, len(shards)))
-    return listed.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return listed.mapInArrow(common.lean(run), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

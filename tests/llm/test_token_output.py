@@ -14,7 +14,6 @@ PATH = P.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -25,10 +24,20 @@ def test_encoder_matches_the_library(library):
     for _ in range(4000):
         t = "".join(rng.choices(alphabet, k=rng.randint(0, 14)))
         assert np.frombuffer(e.encode(t), e.dtype).tolist() == library(t), repr(t)
+    for t in ("a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext |>", " <|endoftext|>\n x"):
+        assert np.frombuffer(e.encode(t), e.dtype).tolist() == library(t), repr(t)
+    assert 49407 in library("a <|endoftext|> b")
+
+
+def test_special_tokens_as_text():
+    e, t = token_output.Encoder(PATH, special_as_text=True), Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    for x in ("a <|endoftext|> b", "<|startoftext|>"):
+        assert np.frombuffer(e.encode(x), e.dtype).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
 def test_files_hold_the_ids_in_order(spark, library):
-    texts = [None, "", "One two", "one two", "word " * 3000, "x", "y z"]
+    texts = [None, "", "One two <|endoftext|>", "one two", "word " * 3000, "x", "y z"]
     rows = [(i * 7 % 5 - 2 if i != 5 else None, t, "k", 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string, ids int").repartition(3)
     where, shards = token_output.write(df, PATH, length=16)
