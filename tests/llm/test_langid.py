@@ -1,31 +1,33 @@
 import random
 
 import numpy as np
+import pytest
 
 from gridweft.llm import langid, queries
 
 
-def brute_phrases(sample, text, block=langid.BLOCK):
-    """Greedy longest phrases that occur in sample; cut at block ends."""
-    n = 0
-    for at in range(0, len(text), block):
-        part, i = text[at : at + block], 0
-        while i < len(part):
-            j = i + 1
-            while j <= len(part) and part[i:j] in sample:
-                j += 1
-            i = max(i + 1, j - 1)
-            n += 1
+def brute_phrases(sample, text):
+    """Greedy longest phrases that occur in sample, over the whole text."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        i = max(i + 1, j - 1)
+        n += 1
     return n
 
 
-def test_walk_matches_greedy_parsing():
+@pytest.mark.parametrize("dense, block, rounds", [(langid.DENSE, 512, 4), (0, 64, 4), (langid.DENSE, 7, 1), (0, 5, 0)])
+def test_walk_matches_greedy_parsing(dense, block, rounds, monkeypatch):
+    monkeypatch.setattr(langid, "ROUNDS", rounds)
     rng = random.Random(3)
     mixed = lambda n, a: "".join(rng.choices(a, k=n))
     samples = {"xx": mixed(400, "abcab "), "yy": mixed(300, "abde "), "zz": ""}
-    a = langid.Automata(samples)
-    texts = [mixed(rng.randint(0, 1300), "abcde f1.ñ") for _ in range(60)] + ["", "...", "ABC", "a" * 3000]
-    counts, letters = a.phrases(texts)
+    a = langid.Automata(samples, dense, block)
+    assert (a.table is None) == (not dense)
+    texts = [mixed(rng.randint(0, 1300), "abcde f1.ñ") for _ in range(60)] + ["", "...", "ABC", "a" * 3000, "abcab " * 300, (samples["xx"] * 4)[7:]]
+    counts, letters, lengths = a.phrases(texts)
 
     def norm(t):
         out = []
@@ -36,7 +38,7 @@ def test_walk_matches_greedy_parsing():
         return "".join(out)
 
     for k, t in enumerate(texts):
-        assert letters[k] == sum(c.isalpha() for c in t)
+        assert letters[k] == sum(c.isalpha() for c in t) and (not t or lengths[k] == len(norm(t)))
         for j, x in enumerate(a.langs):
             if t:
                 assert counts[k, j] == brute_phrases(norm(samples[x]), norm(t)), (t, x)
