@@ -20,7 +20,7 @@ from . import common, graph
 
 #: Fingerprints of a bucket that are compared pair by pair; fuller buckets go through neighbour variants.
 BUCKET = 64
-#: Copies of a fingerprint from which its documents take their component from a broadcast row: at most rows / HOT such rows exist.
+#: Copies of a fingerprint from which its documents take their component from a broadcast row, see graph.joined().
 HOT = 100_000
 HASHES = 1 << 16
 
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
             out = common.unsigned([fingerprint(t.as_py(), words, seed) for t in b.column(1)])
             yield common.batch({"id": b.column(0), "fp": pa.array(out.view(np.int64))}, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(common.lean(run), "id long, fp long")
 
 
 def masks(radius: int, key_bits: int = 64) -> list[int]:
@@ -147,21 +147,19 @@ def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, link: int = 4,
     bits, itself included. Null and empty texts have fingerprint 0 and link like any other.
     Rows of null id link like any other but never name a component: it is null where no row within
     reach has an id. Repeated rows and ties share their fingerprint's component.
-    Extra columns of docs are not read.
+    Texts of any length are read whole; an empty table gives no rows. Extra columns of docs, whatever
+    they are called, are not read.
     """
-    rows = common.written(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
-    fps = common.written(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = common.written(graph.components(links(fps.select("fp"), radius, link, bucket)), "roots")
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = common.written(named.join(lows, "root").select("fp", "n", "component_id"), "components")
-    crowd = of.where(F.col("n") > hot).select("fp", "component_id")
-    if crowd.limit(1).count():
-        mapped = rows.join(F.broadcast(crowd.withColumn("hot", F.lit(True))), "fp", "left")
-        cold = mapped.where("hot is null").select("id", "fp").join(of.select("fp", "component_id"), "fp")
-        out = mapped.where("hot").select("id", "fp", "component_id").union(cold.select("id", "fp", "component_id"))
-    else:
-        out = rows.join(of.select("fp", "component_id"), "fp")
+    spark = docs.sparkSession
+    with common.scratch(spark):
+        rows = common.keep(common.written(fingerprints(docs, words, seed, id_col, text_col), "fingerprints"))
+        fps = common.written(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
+        roots = common.written(graph.components(links(fps.select("fp"), radius, link, bucket)), "roots")
+        named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("fp", F.col("n").alias("copies"), "low", "root")
+        lows = common.written(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "lows")
+        of = graph.joined(named, lows, "root").select("fp", F.col("copies").alias("n"), "component_id")
+        of = common.keep(common.written(of, "components"))
+    out = graph.joined(rows, of, "fp", hot)
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ def shingles(text: bytes | None, words: int, seed: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *simhash.word_hashes(text or b"", words, seed)])).view(np.int64)
 
 
-def sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """(row, hashes): the distinct shingle hashes of each text; docs is (row, text as binary)."""
+def sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """(row, hashes): the distinct shingle hashes of each text; texts is (row, text as binary)."""
     schema = pa.schema([("row", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -38,14 +39,14 @@ def sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
             for b in common.slices(whole, "text"):
                 yield common.batch({"row": b.column(0), "hashes": pa.array([shingles(t.as_py(), words, seed) for t in b.column(1)], pa.list_(pa.int64()))}, schema)
 
-    return docs.mapInArrow(run, "row long, hashes array<long>")
+    return texts.mapInArrow(common.lean(run), "row long, hashes array<long>")
 
 
 def usual(texts: DataFrame, words: int, seed: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles most sets of a sample have, ascending, and their numbers of sets."""
+    """The shingles most sets of a sample have, ascending, and their numbers of sets; texts is (file, place, text)."""
     share = max(SAMPLE / max(1, rows), 1 / 32)
-    some = texts if share >= 1 else texts.where(F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = sets(some, words, seed).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    some = texts if share >= 1 else texts.where(F.pmod(F.xxhash64(F.lit(1), "file", "place"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = sets(some.select(F.lit(0).cast("long").alias("row"), "text"), words, seed).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
     h, n = np.asarray(top.column("h")), np.asarray(top.column("n"))
     order = np.argsort(h)
@@ -62,26 +63,21 @@ def prefix(h: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: flo
     return h[np.lexsort((h, count))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]] if n else h
 
 
-def prefixes(texts: DataFrame, words: int, seed: int, similarity: float, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(token, row, size, at): the prefix of each text's set, the set's size and the token's place in the order."""
-    schema = pa.schema([("token", pa.int64()), ("row", pa.int64()), ("size", pa.int32()), ("at", pa.int32())])
+def described(texts: DataFrame, id_type: str, words: int, seed: int, similarity: float, known: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(row, file, place, id, digest, size, tokens): each text's number, a 128-bit digest of its set, the set's size and prefix; texts is (file, place, id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast((known, counts))
 
     def run(batches):
-        k, c = shared.value
+        (k, c), n = shared.value, TaskContext.get().partitionId() << 33
         for whole in batches:
             for b in common.slices(whole, "text"):
-                found = [shingles(t.as_py(), words, seed) for t in b.column(1)]
-                firsts = [prefix(h, k, c, similarity) for h in found]
-                sizes = [len(f) for f in firsts]
-                yield common.batch({
-                    "token": np.concatenate([np.zeros(0, np.int64), *firsts]),
-                    "row": np.repeat(np.asarray(b.column(0)), sizes),
-                    "size": np.repeat(np.array([len(h) for h in found], np.int32), sizes),
-                    "at": np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in sizes]]),
-                }, schema)
+                found = [shingles(t.as_py(), words, seed) for t in b.column(3)]
+                tokens = pa.array([prefix(h, k, c, similarity) for h in found], pa.list_(pa.int64()))
+                digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+                rows, n = pa.array(np.arange(n, n + len(found))), n + len(found)
+                yield pa.RecordBatch.from_arrays([rows, *b.columns[:3], digests, pa.array(list(map(len, found)), pa.int32()), tokens], names=["row", "file", "place", "id", "digest", "size", "tokens"])
 
-    return texts.mapInArrow(run, "token long, row long, size int, at int")
+    return texts.mapInArrow(common.lean(run), f"row long, file long, place long, id {id_type}, digest binary, size int, tokens array<long>")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -161,8 +157,7 @@ def compare(members: DataFrame, found: DataFrame, similarity: float) -> DataFram
     per = per.groupBy("token").agg(most["root"].alias("main"), most["n"].alias("mains"), (F.sum("n") - most["n"]).alias("sides"), F.max("big").alias("big")).where("sides > 0")
     block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(MASS) / F.col("big")))).cast("int")
     per = per.withColumn("ns", F.ceil(F.col("sides") / block)).withColumn("nm", F.ceil(F.col("mains") / block)).select("token", "main", "ns", "nm")
-    few = per.count() <= common.BROADCAST_ROWS
-    m = members.join(F.broadcast(per) if few else per, "token")
+    m = members.join(common.small(per), "token")
     side = F.col("root") != F.col("main")
     m = m.select("token", "row", "ns", "nm", side.alias("side"), F.pmod(F.xxhash64(F.lit(2), "row"), F.when(side, F.col("ns")).otherwise(F.col("nm"))).alias("b"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
@@ -192,29 +187,84 @@ def compare(members: DataFrame, found: DataFrame, similarity: float) -> DataFram
 
     units = within.union(across).union(mains).join(found, "row").select(*unit, "part", "row", "hashes")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return units.repartition(parts, *unit).sortWithinPartitions(*unit, "part").mapInArrow(run, "u long, v long").distinct()
+    return units.repartition(parts, *unit).sortWithinPartitions(*unit, "part").mapInArrow(common.lean(run), "u long, v long").distinct()
 
 
-def links(texts: DataFrame, words: int, similarity: float, seed: int, bucket: int, rows: int) -> DataFrame:
-    """(u, v): rows of distinct non-empty sets, with the reachability of all pairs of at least that similarity; texts is (row, text as binary)."""
-    tokens = prefixes(texts, words, seed, similarity, *usual(texts, words, seed, rows))
+def near_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): distinct pairs of rows that share tokens and may be similar; members is (token, row, size, at), few of a token.
+
+    Similar sets have t / (1 + t) of both sizes in common. No more are than follow their first
+    common token in either, nor than the common tokens of both prefixes and what follows the
+    prefix that ends first. That counts on all common tokens of the prefixes being in members: pairs
+    with a crowded one may be missing, they are compared with its other sets.
+    """
+    need = lambda x, y: F.lit(similarity / (1 + similarity)) * (x + y) - 1e-6
+    sized = lambda x, y: F.least(x["size"], y["size"]) >= similarity * F.greatest(x["size"], y["size"]) - 1e-6
+    left = lambda x: x["size"] - x["at"]
+    sets_ = members.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("row", "size", "at"))).alias("s"))
+    after = lambda x, i: F.filter(F.slice("s", i + 2, F.size("s")), lambda y: sized(x, y))
+    told = lambda x, y: F.struct(x["row"].alias("u"), y["row"].alias("v"), x["size"].alias("su"), y["size"].alias("sv"), F.least(left(x), left(y)).alias("left"))
+    pairs = F.flatten(F.transform("s", lambda x, i: F.transform(after(x, i), lambda y: told(x, y))))
+    both = sets_.select(F.explode(pairs).alias("p")).select("p.*").groupBy("u", "v", "su", "sv").agg(F.count("*").alias("n"), F.max("left").alias("left"))
+    rest = lambda n: F.ceil(F.col(n) * F.lit(similarity) - 1e-9) - 1  # noqa: E731  what follows the prefix
+    need_ = need(F.col("su"), F.col("sv"))
+    return both.where((F.col("left") >= need_) & (F.col("n") + F.greatest(rest("su"), rest("sv")) >= need_)).select("u", "v")
+
+
+def within(units: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
+    """(u, v): links between the texts of each unit; units is (unit, row, text as binary), small units only."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        def told():
+            if len(rows) > 1:
+                for u, v in alike([np.array(rows)], [hashes], similarity):
+                    yield common.batch({"u": u, "v": v}, schema)
+
+        last, rows, hashes = None, [], []
+        for whole in batches:
+            for b in common.slices(whole, "text"):
+                for unit, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    if unit != last:
+                        yield from told()
+                        last, rows, hashes = unit, [], []
+                    rows.append(row)
+                    hashes.append(shingles(text.as_py(), words, seed))
+        yield from told()
+
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(common.lean(run), "u long, v long")
+
+
+def links(texts: DataFrame, table: DataFrame, words: int, similarity: float, seed: int, bucket: int) -> DataFrame:
+    """(u, v): rows of distinct sets, with the reachability of all pairs of at least that similarity.
+
+    table is as described(), one row for each set; texts (file, place, text as binary) has the texts.
+    Candidates that hang together are brought to one place and compared there; where more than a
+    block hang together each pair is brought together.
+    """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = table.select("row", "size", F.posexplode("tokens").alias("at", "token"))
     counted = tokens.repartition(parts, "token").withColumn("n", F.count("*").over(Window.partitionBy("token")))
     members = common.written(counted.where("n > 1"), "bucket-members")
-    few = members.where(F.col("n") <= bucket)
-    side = lambda x: few.select("token", F.col("row").alias(x), F.struct("size", "at").alias(f"{x}s"))
-    size = lambda x: F.col(f"{x}s.size")
-    left = lambda x: F.col(f"{x}s.size") - F.col(f"{x}s.at")
-    # true of similar sets at the first element both have
-    may = F.least(left("u"), left("v")) >= similarity / (1 + similarity) * (size("u") + size("v")) - 1e-6
-    pairs = side("u").join(side("v"), "token").where(F.col("u") < F.col("v")).where(may)
-    pairs = common.written(pairs.select("u", "v").distinct(), "candidates")
+    pairs = common.written(near_pairs(members.where(F.col("n") <= bucket), similarity), "candidates")
     crowded = members.where(F.col("n") > bucket)
-    used = pairs.select(F.explode(F.array("u", "v")).alias("row")).union(crowded.select("row")).distinct()
-    found = common.written(sets(texts.join(used, "row", "left_semi"), words, seed), "shingles")
-    both = pairs.join(found.toDF("u", "x"), "u").join(found.toDF("v", "y"), "v")
+    roots = graph.components(pairs)
+    of = table.select("row", "file", "place", "size")
+    placed = common.written(roots.withColumnRenamed("node", "row").join(of, "row"), "units")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"), F.max("size").alias("big"))
+    small = (F.col("n") <= BLOCK) & (F.col("n") * F.col("big") <= MASS)
+    units = placed.join(sizes.where(small).select("root"), "root").select("file", "place", F.col("root").alias("unit"), "row")
+    out = common.written(within(texts.join(common.small(units), ["file", "place"]).select("unit", "row", "text"), words, seed, similarity), "links")
+    large = placed.join(sizes.where(~small).select("root"), "root").select("row", "file", "place")
+    used = common.written(large.union(crowded.select("row").distinct().join(of, "row").select("row", "file", "place")).distinct(), "compared")
+    if not used.limit(1).count():
+        return out
+    found = common.written(sets(texts.join(common.small(used), ["file", "place"]).select("row", "text"), words, seed), "shingles")
+    some = large.select("row")
+    both = pairs.join(some.withColumnRenamed("row", "u"), "u").join(found.toDF("u", "x"), "u").join(found.toDF("v", "y"), "v")
     same = F.size(F.array_intersect("x", "y"))
-    out = common.written(both.where(same >= F.lit(similarity) * (F.size("x") + F.size("y") - same)).select("u", "v"), "links")
+    out = common.written(out.union(both.where(same >= F.lit(similarity) * (F.size("x") + F.size("y") - same)).select("u", "v")), "links")
     if not crowded.limit(1).count():
         return out
     # each set under its first crowded token, then all tokens between the groups this leaves
@@ -228,40 +278,34 @@ def links(texts: DataFrame, words: int, similarity: float, seed: int, bucket: in
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs and ``kept``: one row of each group of near-duplicates is kept.
+    """(row, kept): the columns of docs as a struct, and whether the row stays: one of each group of near-duplicates.
 
     Two rows are linked when the Jaccard similarity of their texts' sets of word shingles is at
     least similarity; all such links are found at every size of the table. Groups are the
     components of the links. The smallest id of a group is kept (null ids last, of equal ids one
-    row). Texts without words are alike. Rows of one set, by a 128-bit digest of it, are one
-    class that its first row stands for. Shingles of more than bucket classes are compared by
-    blocks. Columns of docs keep their names, values and order.
+    row). Null texts and texts without words are alike. Rows of one set, by a 128-bit digest of it,
+    are one class that its first row stands for. Shingles of more than bucket classes are compared
+    by blocks. Texts of any length are read whole; an empty table gives no rows; columns of docs may
+    have any names. A table read from Parquet is read where it is, any other is written once.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    taken = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    at = docs.columns.index(text_col)
-    frame = docs.select(*taken, F.monotonically_increasing_id().alias("row"))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
-
-    def run(batches):
-        for b in batches:
-            digests = [xxhash.xxh3_128_digest(shingles(None if (x := t.as_py()) is None else x.encode(), words, seed).tobytes()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.binary())], names=[*b.schema.names, "digest"])
-
-    table = common.written(frame.mapInArrow(run, types + ", digest binary"), "digested")
-    rows = table.select("row", "digest")
-    classes = rows.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    inside = common.written(rows.join(classes, "digest").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v")), "copies")
-    copies = inside.select(F.col("v").alias("row"))
-    texts = table.join(F.broadcast(copies) if copies.count() <= common.BROADCAST_ROWS else copies, "row", "left_anti").select("row", F.col(f"c{at}").cast("binary").alias("text"))
-    links_ = inside.union(links(texts, words, similarity, seed, simhash.BUCKET if bucket is None else bucket, table.count()))
-    roots = common.written(graph.components(links_), "groups")
-    idc = f"c{docs.columns.index(id_col)}"
-    named = roots.join(table.select(F.col("row").alias("node"), F.col(idc).alias("id")), "node")
-    order = F.struct(F.col("id").isNull().alias("z"), "id", "node")
-    stays = named.groupBy("root").agg(F.min(order).alias("s")).select(F.col("s.node").alias("node"))
-    gone = common.written(roots.select("node").join(stays, "node", "left_anti"), "dropped").select(F.col("node").alias("row"), F.lit(False).alias("kept"))
-    few = gone.count() <= common.BROADCAST_ROWS
-    out = table.join(F.broadcast(gone) if few else gone, "row", "left")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.coalesce("kept", F.lit(True)).alias("kept"))
+    with common.scratch(spark):
+        frame = common.placed(docs)
+        at, idc = f"c{docs.columns.index(text_col)}", f"c{docs.columns.index(id_col)}"
+        texts = frame.select("file", "place", F.col(idc).alias("id"), F.col(at).cast("binary").alias("text"))
+        bare = texts.select("file", "place", "text")
+        table = common.written(described(texts, frame.schema[idc].dataType.simpleString(), words, seed, similarity, *usual(bare, words, seed, frame.count())), "described")
+        order = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))
+        classes = common.written(table.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n"), order.alias("best")), "classes")
+        copied = common.small(classes.where("n > 1").select("digest", "first"))
+        copies = common.written(table.select("row", "digest").join(copied, "digest").where("row <> first").select("row"), "copies")
+        found = links(bare, table.join(common.small(copies), "row", "left_anti"), words, similarity, seed, simhash.BUCKET if bucket is None else bucket)
+        roots = common.written(graph.components(found).withColumnRenamed("node", "first"), "groups")
+        grouped = classes.select("digest", "first", "n", "best").join(roots, "first", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "first"))
+        grouped = common.written(grouped, "grouped")
+        stays = grouped.groupBy("root").agg(F.min("best").alias("s")).select("root", F.col("s.row").alias("stays"))
+        goes = common.small(common.written(grouped.join(stays, "root").select("digest", "stays"), "stays"))
+        gone = common.keep(common.written(table.select("row", "file", "place", "digest").join(goes, "digest").where("row <> stays").select("file", "place", F.lit(False).alias("kept")), "dropped"))
+        out = frame.join(common.small(gone), ["file", "place"], "left")
+        return out.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("row"), F.coalesce("kept", F.lit(True)).alias("kept"))

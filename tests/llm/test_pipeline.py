@@ -2,8 +2,8 @@ import random
 import re
 
 import corpus_pipeline
-import pytest
 from gridweft.llm import simhash
+from pyspark.sql import functions as F
 
 
 def shingles(text, k=5):
@@ -30,16 +30,14 @@ def make(rng, n=150):
     return out
 
 
-@pytest.mark.parametrize("bucket", [64, 3])
-def test_one_document_of_each_near_group_stays(spark, bucket, monkeypatch):
+def test_one_document_of_each_near_group_stays(spark):
     rng = random.Random(4)
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
     texts = make(rng) + [None, "", " ", "two words", "two words", "long " * 40_000]
     rows = [(i, t, "en", "s", 1, "clash") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row int, fp string")
     out = simhash.similar_groups(df)
-    assert out.columns == [*df.columns, "kept"]
-    got = {r.doc_id for r in out.collect() if r.kept}
+    assert out.columns == ["row", "kept"] and out.select("row.*").columns == df.columns
+    got = {r.row.doc_id for r in out.collect() if r.kept}
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -47,8 +45,7 @@ def test_one_document_of_each_near_group_stays(spark, bucket, monkeypatch):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     want = set(root)
-    assert want <= got, "a clean document went"
-    assert len(got - want) <= 0.02 * len(texts), "near copies stayed"
+    assert got == want
     assert simhash.similar_groups(df.where("false")).count() == 0
 
 
@@ -64,7 +61,7 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
         counts.append(docs.count())
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == src.columns
-            assert docs.exceptAll(before).count() == 0
+            assert docs.drop("lang").exceptAll(before.drop("lang")).count() == 0
         if name == "language_id":
             assert before.count() - counts[-1] >= 3 and counts[-1] >= 1000
         if name == "exact_dedup":
@@ -75,3 +72,34 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, final.select("doc_id", "ids_sha256").collect())) == sorted(map(str, docs.select("doc_id", "ids_sha256").collect()))
     assert all(r.n_tokens == len(r.ids) for r in docs.collect())
+
+
+EXTRA = ["lang_pred", "score", "phrase_chars", "kept", "sampled", "row", "fp", "size", "token", "gw_u", "weight", "id", "a.b"]
+
+
+def test_columns_of_any_name_pass_all_stages(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(EXTRA)]).write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = now.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        assert now.columns == want
+        assert now.select(*[f"`{c}`" for c in EXTRA]).distinct().collect() == [tuple(range(len(EXTRA)))]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count() > 0
+
+
+def test_an_empty_table_runs_through(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids_sha256" in out.columns
+
+
+def test_language_stage_rejects_unknown_scripts_and_names_unlabelled_texts(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some = docs.where("lang = 'fr'").limit(3).withColumns({"lang": F.lit(None).cast("string"), "doc_id": -F.col("doc_id") - 10})
+    odd = spark.createDataFrame([(-1, "日本語の文章です " * 40, "en", "s", 9), (-2, "λόγος " * 50, None, "s", 9)], docs.schema)
+    out = corpus_pipeline.language_id(spark, docs.unionByName(some).unionByName(odd), "")
+    assert out.count() == docs.count() + 3 and out.where("doc_id in (-1, -2)").count() == 0
+    assert {r.lang for r in out.where("doc_id < 0").collect()} == {"fr"}

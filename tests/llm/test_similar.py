@@ -30,7 +30,7 @@ def brute(texts):
 
 def kept(spark, texts, **kw):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id for r in similar.similar_groups(df, **kw).collect() if r.kept}
+    return {r.row.doc_id for r in similar.similar_groups(df, **kw).collect() if r.kept}
 
 
 def words(rng, n):
