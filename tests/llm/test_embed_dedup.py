@@ -52,7 +52,7 @@ def test_links_match_all_pairs(spark, block):
             rows.append((k, [float(x) for x in v], c % 3))
             k += 1
     rows += [(k + i, rows[5][1], rows[5][2]) for i in range(40)] + [(5, rows[5][1], rows[5][2])]
-    check(spark, rows, block=block, hot=10 if block == 8 else 10**5)
+    check(spark, rows, block=block, look=1 if block == 8 else 15, hot=10 if block == 8 else 10**5)
 
 
 def test_edges(spark):
@@ -63,6 +63,16 @@ def test_edges(spark):
     assert embed_dedup.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_passes_follow_the_rows():
-    assert embed_dedup.passes(10) < 8
-    assert embed_dedup.passes(10**4) < embed_dedup.passes(10**6) < embed_dedup.passes(10**9)
+def test_passes_follow_the_rows_and_their_spread():
+    assert embed_dedup.passes(16 * 1024) == (15, 1) and embed_dedup.passes(1024)[1] == 1
+    few, more, most = (embed_dedup.passes(n)[1] for n in (10**5, 10**7, 10**9))
+    assert 1 < few < more < most < 400
+    assert embed_dedup.passes(10**6, 0.5)[1] > embed_dedup.passes(10**6)[1]
+    assert embed_dedup.passes(10**5, 0.1)[1] == 0  # all pairs cost less
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1)]
+    check(spark, rows)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, n_links int, h int")
+    assert sorted(tuple(r) for r in embed_dedup.near_dedup(df).collect()) == sorted(brute(rows))
