@@ -332,8 +332,8 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, l
 
 ORACLE = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, x -> abs(x::DOUBLE))) > 0),
+  SELECT vec_id, label, [x::DOUBLE for x in embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum([abs(x::DOUBLE) for x in embedding]) > 0),
 links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
 reach AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
 low AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -76,3 +77,11 @@ def test_repeated_ids_and_clashing_columns(spark):
     check(spark, rows)
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, n_links int, h int")
     assert sorted(tuple(r) for r in embed_dedup.near_dedup(df).collect()) == sorted(brute(rows))
+
+
+def test_sql_agrees_on_a_table(spark):
+    path = "/root/testdata/sf0.001/embeddings.parquet"
+    got = sorted(tuple(r) for r in embed_dedup.near_dedup(spark.read.parquet(path)).collect())
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{path}'")
+    assert got == sorted(con.sql(embed_dedup.ORACLE).fetchall())
