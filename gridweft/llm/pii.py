@@ -107,7 +107,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id_col, spans): per row of docs array<struct<kind, start, end, score>> by kind as in KINDS, then start.
 
     Positions are code points, ends exclusive. Null and empty texts have no span. Rows are
-    independent: repeated rows, ties and null ids give a row each; other columns are not read.
+    independent: repeated rows, ties and null ids give a row each; texts of any length are read whole,
+    an empty table gives no rows; other columns, whatever they are called, are not read.
     """
     common.ship(docs.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
@@ -118,5 +119,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for b in common.slices(whole, "text"):
                 yield common.batch({"id": b.column(0), "spans": [spans(t.as_py() or "") for t in b.column(1)]}, schema)
 
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>")
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.lean(run), "id long, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>")
     return out.withColumnRenamed("id", id_col)

@@ -48,7 +48,8 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
     """(id_col, spans): per row of docs its reported spans, array<struct<start, kind, name, end>> in order of start, then kind.
 
     Positions are code points, ends exclusive. Null and empty texts have none; every row counts
-    for itself, so repeated rows and null ids give a row each. Only the two columns are read.
+    for itself, so repeated rows and null ids give a row each; texts of any length are read whole, an
+    empty table gives no rows. Only the two columns are read, whatever else docs has.
     Strong parts (assign, access, hex) are always reported; an ``id`` where a secret starts
     within scope, a ``weak`` secret (also an assigned value under 6 characters) where an
     identifier or endpoint does, an ``endpoint`` where both an identifier and a secret do.
