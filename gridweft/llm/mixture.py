@@ -2,16 +2,20 @@
 
 Token counts of (source, language, topic) cells are raked to the target marginals of the three
 dimensions; documents are then sampled with their cell's calibrated probability. Few cells are
-raked by the driver, more as tables; every category is raked by itself in both ways.
+raked by the driver, more as tables; every category is raked by itself in both ways. Where the
+documents bring no topic, it is learned: texts become small integer sketches of their distinct
+words, and k-means over the sketches of all texts names the nearest centre.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common
 
 #: Categories of source, language and topic, and cells, up to which the driver rakes; beyond, tables are raked. Nothing is pooled as OTHER.
 LIMITS, CELLS = {"source": 500, "lang": 60, "topic": 20}, 100_000
@@ -19,26 +23,103 @@ OTHER, NULL = "(other)", "(null)"
 #: Power of the natural shares that makes the default targets; share of all tokens that is kept.
 POWER, KEEP = 0.8, 0.9
 SEED = 10
+#: Learned topics, rounds over all sketches, and the topic of texts without words.
+TOPICS, ROUNDS, NONE = 8, 6, "(none)"
 
 
-def topic(text: Column) -> Column:
-    """A rough topic from the form of a text, where the documents bring none."""
-    return (
-        F.when(text.contains("icense") | text.contains("opyright"), "legal")
-        .when(text.contains(" | "), "tabular")
-        .when(text.contains("http") | text.contains(" = ") | text.contains("{"), "technical")
-        .when(text.isNull() | (F.length(text) < 400), "short")
-        .otherwise("prose")
-    )
+def sketch(text: str | None) -> np.ndarray | None:
+    """64 small integers: the text's distinct words as sums of signs of their hashes, scaled to length 127; None without words."""
+    words = set((text or "").lower().split())
+    if not words:
+        return None
+    hashed = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    total = 2 * np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) - len(hashed)
+    return _scaled(total)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None, keep: list[Column]) -> DataFrame:
-    """keep, and source, lang, topic, tokens (words, at least 1), u (uniform in [0, 1) by seed, id and text)."""
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return np.rint(127 * x / max(1e-9, np.sqrt((x.astype(float) ** 2).sum()))).astype(np.int8)
+
+
+def nearest(sketches: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of the centre of greatest product; in integers, so that every task finds the same. Ties go to the first."""
+    return (sketches.astype(np.int64) @ centres.astype(np.int64).T).argmax(1)
+
+
+def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of texts that have words, and their rows."""
+    found = [sketch(t) for t in column.to_pylist()]
+    rows = np.array([i for i, x in enumerate(found) if x is not None], np.int64)
+    return np.array([found[i] for i in rows.tolist()], np.int8).reshape(-1, 64), rows
+
+
+def _named(x: np.ndarray, rows: np.ndarray, n: int, centres: np.ndarray) -> pa.Array:
+    names = np.full(n, NONE, object)
+    if len(rows) and len(centres):
+        names[rows] = [f"t{k}" for k in nearest(x, centres).tolist()]
+    return pa.array(names.tolist(), pa.string())
+
+
+def learn_topics(table: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> np.ndarray:
+    """Integer centres of k-means over all sketches; table is (u, sketch as binary). The first centres are the texts of least u.
+
+    A round brings one row for each centre and component to the driver: sums of integers, so the
+    order of tasks changes nothing.
+    """
+    some = table.where("sketch is not null")
+    first = some.select("u", "sketch").distinct().orderBy("u", "sketch").limit(topics).collect()
+    centres = np.array([np.frombuffer(r.sketch, np.int8) for r in first], np.int8).reshape(-1, 64)
+    schema = pa.schema([("k", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.int64()))])
+    for _ in range(rounds if len(centres) else 0):
+        now = centres
+
+        def run(batches, now=now):
+            total, n = np.zeros((len(now), 64), np.int64), np.zeros(len(now), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int8).reshape(-1, 64)
+                    k = nearest(x, now)
+                    np.add.at(total, k, x)
+                    n += np.bincount(k, minlength=len(now))
+            if n.sum():
+                yield common.batch({"k": np.arange(len(now), dtype=np.int32), "n": n, "total": list(total)}, schema)
+
+        part = some.select("sketch").mapInArrow(common.lean(run), "k int, n long, total array<long>")
+        sums = part.select("k", F.posexplode("total").alias("at", "x")).groupBy("k", "at").agg(F.sum("x").alias("x")).collect()
+        total = np.zeros((len(now), 64), np.int64)
+        for r in sums:
+            total[r.k, r.at] = r.x
+        centres = np.array([_scaled(t) if t.any() else c for t, c in zip(total, now)], np.int8)
+        if (centres == now).all():
+            break
+    return centres
+
+
+def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> list[Column]:
+    """gw_source, gw_lang, gw_topic (null where it is to be learned), gw_u (uniform in [0, 1) by seed, id and text)."""
     text = F.col(f"`{text_col}`").cast("string")
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL))
-    words = F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
     u = F.pmod(F.xxhash64(F.lit(SEED), F.col(f"`{id_col}`").cast("string"), text), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return docs.select(*keep, name(source_col).alias("gw_source"), name(lang_col).alias("gw_lang"), (name(topic_col) if topic_col else topic(text)).alias("gw_topic"), words.alias("gw_tokens"), u.alias("gw_u"))
+    topic = name(topic_col) if topic_col else F.lit(None).cast("string")
+    return [name(source_col).alias("gw_source"), name(lang_col).alias("gw_lang"), topic.alias("gw_topic"), u.alias("gw_u")]
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, columns: list[Column], learned: bool, tokenizer: tuple[str, str] | None) -> DataFrame:
+    """(c0, gw_source, gw_lang, gw_topic, gw_u, gw_tokens, sketch) of every row: tokens by the tokenizer (words without one), at least 1; a sketch where topics are learned."""
+    common.ship(docs.sparkSession)
+    frame = docs.select(F.col(f"`{id_col}`").alias("c0"), *columns, F.col(f"`{text_col}`").cast("string").alias("text"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
+
+    def run(batches):
+        encoding = bpe.codec(*tokenizer).encoding if tokenizer else None
+        for whole in batches:
+            for b in common.slices(whole, "text"):
+                texts = b.column(5).to_pylist()
+                tokens = [len(encoding.encode_ordinary(t or "") if encoding else (t or "").encode().split()) for t in texts]
+                sketches = [None if not learned or (x := sketch(t)) is None else x.tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.maximum(tokens, 1), pa.int64()), pa.array(sketches, pa.binary())], names=[*b.schema.names[:5], "gw_tokens", "sketch"])
+
+    return frame.mapInArrow(common.lean(run), types + ", gw_tokens long, sketch binary")
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, tolerance: float = 1e-9) -> np.ndarray:
@@ -103,8 +184,7 @@ def plan(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, ke
     return rows.sparkSession.createDataFrame([(*[r[d] for d in LIMITS], float(a), float(b)) for r, a, b in zip(cells, w, p)], "source string, lang string, topic string, weight double, probability double")
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= common.BROADCAST_ROWS else df
+small = common.small
 
 
 def table_targets(cells: DataFrame, d: str, given: dict[str, float], power: float) -> DataFrame:
@@ -157,21 +237,51 @@ def table_probabilities(raked: DataFrame, keep: float, steps: int = 64) -> DataF
     return raked.select(*LIMITS, "weight", F.least(F.lit(1.0), F.lit(float(hi)) * rate).alias("probability"))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, keep_columns: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, keep_columns: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """One row per row of docs: id_col, source, lang, topic, tokens, weight, probability, sampled.
 
-    With keep_columns instead the columns of docs and ``sampled``. weight is the cell's raked
-    share of all tokens, probability its documents' chance, sampled the draw, which depends on
-    seed, id and text only: repeated rows are drawn alike. Nulls form the category ``(null)``;
-    null and empty texts count as one token. Empty tables give no rows.
+    With keep_columns instead the columns of docs as struct ``row``, and ``sampled``. weight is the
+    cell's raked share of all tokens, probability its documents' chance, sampled the draw, which
+    depends on seed, id and text only: repeated rows are drawn alike. tokenizer (rank file, pattern)
+    counts tokens, words are counted without one. Topics come from topic_col, or are learned from
+    whole texts. Nulls form the category ``(null)``, texts without words the topic ``(none)``; null
+    and empty texts count as one token. Empty tables give no rows; docs may have columns of any name.
     """
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if keep_columns else [F.col(f"`{id_col}`").alias("c0")]
-    args = (id_col, text_col, source_col, lang_col, topic_col)
-    narrow = common.written(described(docs, *args, [F.col(f"`{id_col}`").alias("c0")]), "described")
-    chances = plan(narrow, targets, keep)
-    rows = described(docs, *args, own) if keep_columns else narrow
-    rows = rows.withColumnsRenamed({f"gw_{d}": d for d in LIMITS}).join(small(chances), list(LIMITS), "left")
+    columns = _columns(docs, id_col, text_col, source_col, lang_col, topic_col)
+    with common.scratch(docs.sparkSession):
+        table = common.written(described(docs, id_col, text_col, columns, topic_col is None, tokenizer), "described")
+        centres = learn_topics(table.select(F.col("gw_u").alias("u"), "sketch")) if topic_col is None else np.zeros((0, 64), np.int8)
+
+        def known(batches):
+            for b in batches:
+                kept = b.column(6).to_pylist()
+                rows = np.array([i for i, x in enumerate(kept) if x is not None], np.int64)
+                x = np.frombuffer(b"".join(kept[i] for i in rows.tolist()), np.int8).reshape(-1, 64)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], _named(x, rows, b.num_rows, centres), *b.columns[4:6]], names=[*b.schema.names[:3], "gw_topic", *b.schema.names[4:6]])
+
+        if topic_col is None:
+            types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields[:6])
+            narrow = table.mapInArrow(common.lean(known), types)
+        else:
+            narrow = table.drop("sketch")
+        narrow = common.written(narrow, "narrow")
+        if not keep_columns:
+            common.keep(narrow)
+        chances = common.keep(common.written(plan(narrow, targets, keep), "chances"))
     sampled = F.coalesce(F.col("gw_u") < F.col("probability"), F.lit(False)).alias("sampled")
-    if keep_columns:
-        return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], sampled)
-    return rows.select(F.col("c0").alias(id_col), *LIMITS, F.col("gw_tokens").alias("tokens"), "weight", "probability", sampled)
+    if not keep_columns:
+        rows = narrow.withColumnsRenamed({f"gw_{d}": d for d in LIMITS}).join(small(chances), list(LIMITS), "left")
+        return rows.select(F.col("c0").alias(id_col), *LIMITS, F.col("gw_tokens").alias("tokens"), "weight", "probability", sampled)
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    frame = docs.select(*own, *columns)
+    if topic_col is None:
+        at, to = docs.columns.index(text_col), len(own) + 2
+
+        def named(batches):
+            for whole in batches:
+                for b in common.slices(whole, f"c{at}"):
+                    yield b.set_column(to, "gw_topic", _named(*_sketches(b.column(at)), b.num_rows, centres))
+
+        frame = frame.withColumn(f"c{at}", F.col(f"c{at}").cast("string")).mapInArrow(common.lean(named), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields))
+    rows = frame.withColumnsRenamed({f"gw_{d}": d for d in LIMITS}).join(small(chances), list(LIMITS), "left")
+    return rows.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("row"), sampled)

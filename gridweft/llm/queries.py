@@ -66,7 +66,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixture.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer=(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_bpe, op4_language, op5_quality, op6_embeddings, op7_secrets, op8_token_files, op9_pii, op10_mixture)}
