@@ -92,3 +92,49 @@ def test_ranking_of_held_out_documents(spark):
     rows = out.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
     good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
     assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.95
+
+
+def test_weights_threshold_and_scale_are_those_of_all_pairs():
+    """Newton's method on the listed pairs finds the same weights to 1e-6, where the labels are mixed and where they are apart."""
+    for apart in (1.0, 6.0):
+        rng = np.random.default_rng(8)
+        y = (rng.random(260) < 0.7).astype(int)
+        x = rng.normal(size=(260, 4)) * [1, 5, 0.1, 1] + np.outer(y, [apart, 0.5, 0.0, -0.7])
+        r = quality.fit(x, y)
+        z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+        d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4)
+        w = r.weights.copy()
+        for _ in range(5):
+            p = 1 / (1 + np.exp(d @ w))
+            w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-4 * np.eye(4), (d * p[:, None]).mean(0) - 1e-4 * w)
+        assert np.abs(r.weights - w).max() < 1e-6
+        raw = np.sort(z @ r.weights)
+        k = int((y == 0).sum())
+        assert abs(r.threshold - (raw[k - 1] + raw[k]) / 2) < 1e-9 and abs(r.scale - raw.std() / 2) < 1e-7
+
+
+def test_tied_scores_at_the_threshold():
+    x = np.array([[0.0]] * 6 + [[1.0]] * 6)
+    for y in ([0] * 4 + [1] * 8, [0] * 6 + [1] * 6, [0] * 8 + [1] * 4, [0] * 11 + [1]):
+        r = quality.fit(x, np.array(y))
+        raw, k = np.sort(r.raw(x)), y.count(0)
+        assert abs(r.threshold - (raw[k - 1] + raw[k]) / 2) < 1e-12
+
+
+def test_every_labelled_document_counts(spark):
+    """Of more labelled documents than were once read each changes the ranker, and the number of tasks doesn't."""
+    rng = np.random.default_rng(5)
+    words = np.array("a bb ccc dddd eeeee. | Ff! ggggggggggggggg 77".split())
+    texts = [" ".join(words[rng.integers(0, len(words), 3 + i % 7)]) for i in range(14_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = docs.selectExpr("doc_id", "if(text like '%|%' and doc_id % 5 > 0, 0, 1) quality")
+    y = {r.doc_id: r.quality for r in labels.where("pmod(crc32(cast(doc_id as string)), 3) <> 1").collect()}
+    ids = sorted(y)
+    assert len(ids) > 9000
+    x, y = np.array([quality.features(texts[i]) for i in ids]), np.array([y[i] for i in ids])
+    want, got = quality.fit(x, y), quality.learn(docs, labels)
+    assert np.allclose(got.mean, x.mean(0), rtol=1e-9, atol=1e-9) and np.allclose(got.std[x.std(0) > 1e-9], x.std(0)[x.std(0) > 1e-9], rtol=1e-9)
+    assert np.array_equal(got.weights, want.weights) and (got.threshold, got.scale) == (want.threshold, want.scale)
+    rows = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x[:3000], y[:3000])], "y long, x array<double>").repartition(6)
+    some = quality.solve(quality.spread(rows, tasks=2), x.shape[1], 1e-4)  # merged twice
+    assert np.array_equal(some.weights, quality.fit(x[:3000], y[:3000]).weights)
