@@ -17,6 +17,8 @@ from gridweft.llm import bpe, common, exact_dedup, langid, mixture, simhash
 TOKENIZER = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 #: Mean phrase length under which a text is in no learned language: hardly more than letter by letter. Texts of the learned languages have 3 and more.
 LEAST_PHRASE = 2.0
+#: Bits in which the fingerprints of near-duplicates may differ.
+LINK = 4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,13 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id (null ids last), of each group linked by a similarity of 0.8 of five-word shingles. Null texts and texts without words are alike."""
-    return simhash.similar_groups(docs).where("kept").select("row.*")
+    """Keeps one document, that of the smallest id (null ids last), of each group linked by SimHash or by similarity.
+
+    SimHash links fingerprints of the distinct five-word shingles that differ in at most LINK bits,
+    by covering masks; a similarity of 0.8 of these shingles links as well, since few such texts are
+    that near by fingerprint. All links of both kinds are found. Null texts and texts without words are alike.
+    """
+    return simhash.similar_groups(docs, link=LINK).where("kept").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,15 +42,20 @@ def word_hashes(text: bytes, words: int, seed: int = 42):
         yield np.array([digest(joined[i:j], seed) for i, j in zip(a, b)], np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit majority fingerprint as an unsigned integer; 0 for a null text or one without words."""
+def majority(pieces) -> int:
+    """The bits that over half the hashes have, as an unsigned integer; pieces are arrays of 64-bit hashes, none give 0."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in word_hashes(text or b"", words, seed):
+    for h in pieces:
         n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
+def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+    """The 64-bit majority fingerprint as an unsigned integer; 0 for a null text or one without words."""
+    return majority(word_hashes(text or b"", words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every row's whole text."""
     common.ship(docs.sparkSession)

@@ -4,6 +4,8 @@ Two sets of similarity t or more share an element among the first n - ceil(t n)
 any order that is the same for all sets. Rare shingles come first, so few sets meet; the order
 takes its counts from a sample, which changes the work and never the result. Shingles that more
 sets have than are compared pair by pair are crowded: their sets are compared block by block.
+
+SimHash can link texts too: by fingerprints of the same sets, found by covering masks.
 """
 
 from __future__ import annotations
@@ -63,8 +65,8 @@ def prefix(h: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: flo
     return h[np.lexsort((h, count))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]] if n else h
 
 
-def described(texts: DataFrame, id_type: str, words: int, seed: int, similarity: float, known: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(row, file, place, id, digest, size, tokens): each text's number, a 128-bit digest of its set, the set's size and prefix; texts is (file, place, id, text)."""
+def described(texts: DataFrame, id_type: str, words: int, seed: int, similarity: float, known: np.ndarray, counts: np.ndarray, fingerprints: bool = False) -> DataFrame:
+    """(row, file, place, id, digest, size, tokens, fp): each text's number, a 128-bit digest of its set, the set's size and prefix, and where asked for the fingerprint of a set that isn't empty; texts is (file, place, id, text)."""
     shared = texts.sparkSession.sparkContext.broadcast((known, counts))
 
     def run(batches):
@@ -74,10 +76,27 @@ def described(texts: DataFrame, id_type: str, words: int, seed: int, similarity:
                 found = [shingles(t.as_py(), words, seed) for t in b.column(3)]
                 tokens = pa.array([prefix(h, k, c, similarity) for h in found], pa.list_(pa.int64()))
                 digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+                fps = pa.array([set_fingerprint(h) if fingerprints and len(h) else None for h in found], pa.int64())
                 rows, n = pa.array(np.arange(n, n + len(found))), n + len(found)
-                yield pa.RecordBatch.from_arrays([rows, *b.columns[:3], digests, pa.array(list(map(len, found)), pa.int32()), tokens], names=["row", "file", "place", "id", "digest", "size", "tokens"])
+                yield pa.RecordBatch.from_arrays([rows, *b.columns[:3], digests, pa.array(list(map(len, found)), pa.int32()), tokens, fps], names=["row", "file", "place", "id", "digest", "size", "tokens", "fp"])
+
+    return texts.mapInArrow(common.lean(run), f"row long, file long, place long, id {id_type}, digest binary, size int, tokens array<long>, fp long")
+
+
+def set_fingerprint(h: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of shingle hashes."""
+    return simhash.signed(simhash.majority(h[at : at + simhash.HASHES] for at in range(0, len(h), simhash.HASHES)))
+
 
-    return texts.mapInArrow(common.lean(run), f"row long, file long, place long, id {id_type}, digest binary, size int, tokens array<long>")
+def fingerprint_links(table: DataFrame, link: int, bucket: int) -> DataFrame:
+    """(u, v): rows with the reachability of all pairs of fingerprints of at most link differing bits; table is (row, fp), one row for each set."""
+    some = table.where("fp is not null")
+    fps = common.written(some.groupBy("fp").agg(F.min("row").alias("low"), F.count("*").alias("n")), "fingerprints")
+    near = common.written(simhash.links(fps.select("fp"), link, link, bucket), "near-fingerprints")
+    lows = fps.select("fp", "low")
+    across = near.join(lows.toDF("u", "a"), "u").join(lows.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    equal = graph.joined(some.select("row", "fp"), fps.where("n > 1").select("fp", "low", "n"), "fp").where("row <> low").select(F.col("row").alias("u"), F.col("low").alias("v"))
+    return across.union(equal)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -277,12 +296,14 @@ def links(texts: DataFrame, table: DataFrame, words: int, similarity: float, see
     return out
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int | None = None, link: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, kept): the columns of docs as a struct, and whether the row stays: one of each group of near-duplicates.
 
     Two rows are linked when the Jaccard similarity of their texts' sets of word shingles is at
-    least similarity; all such links are found at every size of the table. Groups are the
-    components of the links. The smallest id of a group is kept (null ids last, of equal ids one
+    least similarity; all such links are found at every size of the table. With link, 2 or 4, two rows
+    are also linked when the SimHash fingerprints of these sets differ in at most link bits, whatever
+    their similarity; all such links are found too. Sets without a shingle have no fingerprint: they
+    are one class. Groups are the components of the links. The smallest id of a group is kept (null ids last, of equal ids one
     row). Null texts and texts without words are alike. Rows of one set, by a 128-bit digest of it,
     are one class that its first row stands for. Shingles of more than bucket classes are compared
     by blocks. Texts of any length are read whole; an empty table gives no rows; columns of docs may
@@ -295,12 +316,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, see
         at, idc = f"c{docs.columns.index(text_col)}", f"c{docs.columns.index(id_col)}"
         texts = frame.select("file", "place", F.col(idc).alias("id"), F.col(at).cast("binary").alias("text"))
         bare = texts.select("file", "place", "text")
-        table = common.written(described(texts, frame.schema[idc].dataType.simpleString(), words, seed, similarity, *usual(bare, words, seed, frame.count())), "described")
+        table = common.written(described(texts, frame.schema[idc].dataType.simpleString(), words, seed, similarity, *usual(bare, words, seed, frame.count()), link is not None), "described")
         order = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row"))
         classes = common.written(table.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n"), order.alias("best")), "classes")
         copied = common.small(classes.where("n > 1").select("digest", "first"))
         copies = common.written(table.select("row", "digest").join(copied, "digest").where("row <> first").select("row"), "copies")
-        found = links(bare, table.join(common.small(copies), "row", "left_anti"), words, similarity, seed, simhash.BUCKET if bucket is None else bucket)
+        bucket = simhash.BUCKET if bucket is None else bucket
+        distinct = table.join(common.small(copies), "row", "left_anti")
+        found = links(bare, distinct, words, similarity, seed, bucket)
+        if link is not None:
+            found = found.union(fingerprint_links(distinct.select("row", "fp"), link, bucket))
         roots = common.written(graph.components(found).withColumnRenamed("node", "first"), "groups")
         grouped = classes.select("digest", "first", "n", "best").join(roots, "first", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "first"))
         grouped = common.written(grouped, "grouped")

@@ -2,7 +2,8 @@ import random
 import re
 
 import corpus_pipeline
-from gridweft.llm import simhash
+import xxhash
+from gridweft.llm import simhash, similar
 from pyspark.sql import functions as F
 
 
@@ -103,3 +104,56 @@ def test_language_stage_rejects_unknown_scripts_and_names_unlabelled_texts(spark
     out = corpus_pipeline.language_id(spark, docs.unionByName(some).unionByName(odd), "")
     assert out.count() == docs.count() + 3 and out.where("doc_id in (-1, -2)").count() == 0
     assert {r.lang for r in out.where("doc_id < 0").collect()} == {"fr"}
+
+
+def plain_fingerprint(text):
+    """SimHash of the distinct five-word shingles, bit by bit."""
+    hashes = [xxhash.xxh64_intdigest(" ".join(s), 42) for s in shingles(text)]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def bits_apart(a, b):
+    return (a ^ b).bit_count()
+
+
+def test_near_stage_links_by_simhash_and_by_similarity(spark):
+    """Texts under the similarity that SimHash has within 4 bits are linked, as are those that only the similarity links."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("aeioustnrl", k=rng.randint(3, 8))) for _ in range(3000)]
+    junk = " ".join(rng.choices(vocabulary, k=10)) + " "
+    texts, only_simhash = [None, "", "six words are two shingles here", *[junk * 50 + " ".join(rng.choices(vocabulary, k=80)) for _ in range(4)]], 0
+    for _ in range(40):
+        base = rng.choices(vocabulary, k=150)
+        first = plain_fingerprint(" ".join(base))
+        texts.append(" ".join(base))
+        for _ in range(30):
+            copy = list(base)
+            for k in rng.sample(range(150), rng.choice([2, 4, 4])):
+                copy[k] = rng.choice(vocabulary)
+            text = " ".join(copy)
+            near = bits_apart(plain_fingerprint(text), first) <= 4
+            if near and not alike(text, texts[-1]):
+                only_simhash += 1
+                texts.append(text)
+                break
+        else:
+            texts.append(text)
+    prints = [plain_fingerprint(t) if shingles(t) else None for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            close = None not in (prints[i], prints[j]) and bits_apart(prints[i], prints[j]) <= 4
+            if root[i] != root[j] and (close or alike(texts[i], texts[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert only_simhash >= 3 and len(set(root)) < len(texts) - only_simhash
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(root)
+    assert {r.row.doc_id for r in simhash.similar_groups(df, link=4, bucket=2).collect() if r.kept} == set(root)
+
+
+def test_sets_of_one_fingerprint_are_one_group(spark):
+    """Rows of a fingerprint hang on its first row, which stands for it; rows without a fingerprint hang on none."""
+    table = spark.createDataFrame([(0, 5), (1, 5), (2, 5 ^ 15), (3, -1), (4, None), (5, None), (6, 5 ^ 31)], "row long, fp long")
+    got = {tuple(sorted(e)) for e in similar.fingerprint_links(table, 4, 64).collect()}
+    assert got == {(0, 1), (0, 2), (2, 6)}
