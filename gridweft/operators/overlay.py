@@ -2,7 +2,10 @@
 
 Cells are nested or disjoint. A dominated cell inside a dominating one goes; one that holds
 dominating cells is split into the children of every cell on the way down to them; all others
-stay. No join compares more than equal keys and none has a product of both sides.
+stay. No join compares more than equal keys and none has a product of both sides. Every join has
+samples on both sides, so all are sorted: by their size in files or shuffles, millions of cells
+pass for small enough to be broadcast, and an overlay of several levels would have many such
+tables on the driver at once.
 """
 
 from __future__ import annotations
@@ -30,6 +33,11 @@ class Dominance(Enum):
         return {Dominance.FIRST: Dominance.SECOND, Dominance.SECOND: Dominance.FIRST, Dominance.MORE_DETAILED_OR_FIRST: Dominance.MORE_DETAILED_OR_SECOND, Dominance.MORE_DETAILED_OR_SECOND: Dominance.MORE_DETAILED_OR_FIRST}[self]
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast."""
+    return df.hint("merge")
+
+
 def _uncovered(y: DataFrame, x: DataFrame, ex: tuple[int, ...], ey: tuple[int, ...]) -> DataFrame:
     """Rows of y in no cell of x: one anti-join for each exponent of x that can hold a cell of y. Rows too coarse for a level keep keys of their own, which spreads them."""
     for level in ex:
@@ -37,7 +45,7 @@ def _uncovered(y: DataFrame, x: DataFrame, ex: tuple[int, ...], ey: tuple[int, .
             own = x.where(F.col("e") == level).select(F.lit(level).alias("ke"), F.col("x").alias("kx"), F.col("y").alias("ky"))
             at = F.greatest(F.col("e"), F.lit(level))
             ax, ay = cells.shift(F.col("x"), at - F.col("e")), cells.shift(F.col("y"), at - F.col("e"))
-            y = y.withColumns({"ke": at, "kx": ax, "ky": ay}).join(own, ["ke", "kx", "ky"], "left_anti").drop("ke", "kx", "ky")
+            y = y.withColumns({"ke": at, "kx": ax, "ky": ay}).join(_sorted(own), ["ke", "kx", "ky"], "left_anti").drop("ke", "kx", "ky")
     return y
 
 
@@ -58,17 +66,17 @@ def dominate(x: DataFrame, y: DataFrame, ex: tuple[int, ...], ey: tuple[int, ...
     # each cell of x that is finer than a cell of y, with the cell of y around it
     held = F.array(*[F.when(F.col("e") < level, F.struct(F.lit(level).alias("ye"), *[c.alias(n) for c, n in zip(cells.ancestor(level), ("yx", "yy"))])) for level in finer])
     small = x.where(F.col("e") < max(finer)).select(*CELL, F.explode(F.filter(held, lambda c: c.isNotNull())).alias("in")).select(*CELL, "in.*")
-    inside = small.join(left.select(F.col("e").alias("ye"), F.col("x").alias("yx"), F.col("y").alias("yy")), ["ye", "yx", "yy"])
+    inside = small.join(_sorted(left.select(F.col("e").alias("ye"), F.col("x").alias("yx"), F.col("y").alias("yy"))), ["ye", "yx", "yy"])
     # the cells to split: every ancestor between them
     ups = F.transform(F.sequence(F.col("e") + 1, F.col("ye")), lambda up: F.struct(up.alias("e"), cells.shift(F.col("x"), up - F.col("e")).alias("x"), cells.shift(F.col("y"), up - F.col("e")).alias("y")))
     split = inside.select("ye", "yx", "yy", F.explode(ups).alias("s")).select("ye", "yx", "yy", "s.*").distinct()
     children = F.array(*[F.struct((F.col("e") - 1).alias("e"), (F.col("x") * 2 + i).alias("x"), (F.col("y") * 2 + j).alias("y")) for j in (0, 1) for i in (0, 1)])
     parts = split.select("ye", "yx", "yy", F.explode(children).alias("c")).select("ye", "yx", "yy", "c.*")
     taken = split.select(*CELL).union(x.select(*CELL))
-    parts = parts.join(taken, CELL, "left_anti")
+    parts = parts.join(_sorted(taken), CELL, "left_anti")
     values = left.select(F.col("e").alias("ye"), F.col("x").alias("yx"), F.col("y").alias("yy"), *SOURCE, *layers)
-    fragments = parts.join(values, ["ye", "yx", "yy"]).select(*CELL, *SOURCE, *layers)
-    whole = left.join(split.where("e = ye").select(*CELL), CELL, "left_anti").select(*CELL, *SOURCE, *layers)
+    fragments = parts.join(_sorted(values), ["ye", "yx", "yy"]).select(*CELL, *SOURCE, *layers)
+    whole = left.join(_sorted(split.where("e = ye").select(*CELL)), CELL, "left_anti").select(*CELL, *SOURCE, *layers)
     es = tuple(range(min(ex), max(*ex, *ey) + 1))
     return x.unionByName(whole, allowMissingColumns=True).unionByName(fragments, allowMissingColumns=True), es
 
@@ -93,7 +101,7 @@ def overlay(first: DataFrame, second: DataFrame, e1: tuple[int, ...], e2: tuple[
             own = first.where(F.col("e") == level)
         if level in e2:
             other = second.where(F.col("e") == level)
-            own = other if own is None else own.unionByName(other.join(own.select(*CELL), CELL, "left_anti"), allowMissingColumns=True)
+            own = other if own is None else own.unionByName(other.join(_sorted(own.select(*CELL)), CELL, "left_anti"), allowMissingColumns=True)
         if out is None:
             out, es = own, (level,)
         else:

@@ -81,7 +81,8 @@ def _winner(tree: Tree, ks) -> Column:
 def position(tree: Tree, px: float, py: float, layers: list[str] | None = None) -> DataFrame:
     """The sample at one position: no row or one."""
     spark = tree.samples.sparkSession
-    return positions(tree, spark.createDataFrame([(0, float(px), float(py))], "pid long, px double, py double"), layers).limit(1)
+    point = spark.createDataFrame([(0, float(px), float(py))], "pid long, px double, py double")
+    return positions(tree, F.broadcast(point), layers).limit(1)  # a list has no size that the planner knows: not the samples
 
 
 def value_at(tree: Tree, px: float, py: float, layer: str):

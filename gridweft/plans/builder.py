@@ -204,16 +204,17 @@ def adaptive(patches: DataFrame, split: int = SPLIT) -> Tree:
     if not found:
         return EMPTY
     names = layer_names(patches)
-    told = [(n, r.cell.e, r.cell.x, r.cell.y, r.kind, min(e for _, e in r.patches), seq, e) for n, r in enumerate(found) for seq, e in r.patches]
-    table = patches.sparkSession.createDataFrame(told, "region long, ce int, cx long, cy long, kind string, finest int, patch_seq long, pe int")
+    told = [(r.cell.e, r.cell.x, r.cell.y, r.kind, min(e for _, e in r.patches), k == 0, seq, e) for r in found for k, (seq, e) in enumerate(r.patches)]
+    # a list has no size that the planner knows, and it would broadcast the samples instead
+    table = patches.sparkSession.createDataFrame(told, "ce int, cx long, cy long, kind string, finest int, _first boolean, patch_seq long, pe int")
     levels = sorted({r.cell.e for r in found})
     up = F.explode(F.filter(F.array(*[F.when(F.col("e") <= level, F.lit(level)) for level in levels]), lambda c: c.isNotNull()))
     fine = patches.select("*", up.alias("ce"))
     fine = fine.withColumns({"cx": cells.shift(F.col("x"), F.col("ce") - F.col("e")), "cy": cells.shift(F.col("y"), F.col("ce") - F.col("e"))})
     small = table.where("pe <= ce").withColumnRenamed("pe", "e")
-    fine = fine.join(small, ["patch_seq", "e", "ce", "cx", "cy"]).select("patch_seq", *CELL, "kind", "finest", F.col("e").alias("_o"), *names)
+    fine = fine.join(F.broadcast(small), ["patch_seq", "e", "ce", "cx", "cy"]).select("patch_seq", *CELL, "kind", "finest", "_first", F.col("e").alias("_o"), *names)
     large = table.where("pe > ce").withColumns({"x": cells.shift(F.col("cx"), F.col("pe") - F.col("ce")), "y": cells.shift(F.col("cy"), F.col("pe") - F.col("ce"))}).withColumnRenamed("pe", "e")
-    coarse = patches.join(large, ["patch_seq", *CELL]).select("patch_seq", F.col("ce").alias("e"), F.col("cx").alias("x"), F.col("cy").alias("y"), "kind", "finest", F.col("e").alias("_o"), *names)
+    coarse = patches.join(F.broadcast(large), ["patch_seq", *CELL]).select("patch_seq", F.col("ce").alias("e"), F.col("cx").alias("x"), F.col("cy").alias("y"), "kind", "finest", "_first", F.col("e").alias("_o"), *names)
     rows = cut(fine.unionByName(coarse))
     parts, es = [], set()
     if any(r.kind == "single" for r in found):
@@ -222,19 +223,14 @@ def adaptive(patches: DataFrame, split: int = SPLIT) -> Tree:
     for finest in sorted({min(e for _, e in r.patches) for r in found if r.kind == "flat"}):
         grid = {min(finest, r.cell.e) for r in found if r.kind == "flat" and min(e for _, e in r.patches) == finest}
         have = tuple(sorted({min(e, r.cell.e) for r in found if r.kind == "flat" and min(e for _, e in r.patches) == finest for _, e in r.patches} | grid))
-        own = rows.where((F.col("kind") == "flat") & (F.col("finest") == finest)).drop("kind", "finest")
+        own = rows.where((F.col("kind") == "flat") & (F.col("finest") == finest)).drop("kind", "finest", "_first")
         parts.append(flatten_layers(own, have, "_o"))
         es.add(min(have))
     pairs = [r for r in found if r.kind == "pair"]
     if pairs:
         own = rows.where("kind = 'pair'").withColumns({s: F.col(c) for c, s in zip(CELL, SOURCE)})
         # of two patches in a region the first is that of the smaller number
-        firsts = patches.sparkSession.createDataFrame([(r.patches[0][0], r.cell.e, r.cell.x, r.cell.y) for r in pairs], "patch_seq long, ce int, cx long, cy long")
-        own = own.withColumns({"ce": F.explode(F.filter(F.array(*[F.when(F.col("e") <= x, F.lit(x)) for x in sorted({r.cell.e for r in pairs})]), lambda c: c.isNotNull()))})
-        own = own.withColumns({"cx": cells.shift(F.col("x"), F.col("ce") - F.col("e")), "cy": cells.shift(F.col("y"), F.col("ce") - F.col("e"))})
-        regions_ = patches.sparkSession.createDataFrame([(r.cell.e, r.cell.x, r.cell.y) for r in pairs], "ce int, cx long, cy long")
-        own = own.join(regions_, ["ce", "cx", "cy"]).join(firsts.withColumn("_first", F.lit(True)), ["patch_seq", "ce", "cx", "cy"], "left")
-        first, second = (cut(own.where(F.col("_first") if k == 0 else F.col("_first").isNull()).select(*CELL, *SOURCE, *names)) for k in (0, 1))
+        first, second = (cut(own.where(F.col("_first") == (k == 0)).select(*CELL, *SOURCE, *names)) for k in (0, 1))
         e1 = tuple(sorted({min(r.patches[0][1], r.cell.e) for r in pairs}))
         e2 = tuple(sorted({min(r.patches[1][1], r.cell.e) for r in pairs}))
         both, eb = overlay(first, second, e1, e2, Dominance.MORE_DETAILED_OR_SECOND)

@@ -4,8 +4,9 @@ import pytest
 
 from gridweft import queries
 from gridweft.functions.cells import Box
-from gridweft.operators import predicates
+from gridweft.operators import predicates, sample
 from gridweft.operators.overlay import Dominance
+from gridweft.plans import builder
 from gridweft.plans.tree import Raster, merge, query
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,39 @@ def test_a_selection_reads_only_what_it_needs(spark, tmp_path):
     scan = re.findall(r"FileScan parquet[^\n]*", plan(df))[0]
     assert "intensity" not in scan and "GreaterThanOrEqual(x," in scan
     assert "Exchange" not in plan(df)
+
+
+def broadcasts(text):
+    """The sources of what a plan broadcasts, as far as they are above the next exchange."""
+    found, lines = [], text.split("\n")
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            deep = line.index("BroadcastExchange")
+            below = lines[i + 1:]
+            end = next((k for k, x in enumerate(below) if len(re.match(r"[\s:+\-]*", x)[0]) <= deep), len(below))
+            found.append("\n".join(below[:end]))
+    return found
+
+
+def test_samples_are_never_broadcast_to_place_them(spark, tmp_path, monkeypatch):
+    """Lists made on the driver are broadcast, the samples joined with them or with each other in an overlay aren't: a few MB of files are millions of cells."""
+    seen = []
+    whole = builder.cut
+
+    def cut(df):
+        seen.append(plan(df))
+        return whole(df)
+
+    monkeypatch.setattr(builder, "cut", cut)
+    seen.append(plan(queries.QUERIES["builder_adaptive"](spark, SF)))
+    part = stored(spark, tmp_path, "part", queries.r_part(spark, SF).df, (0,))
+    seen.append(plan(sample.position(part, 3.5, 2.5)))
+    seen.append(plan(queries.QUERIES["overlay_chain"](spark, SF)))
+    sources = [b for text in seen for b in broadcasts(text)]
+    assert sources and not [b for b in sources if "FileScan" in b or "Scan parquet" in b]
+
+
+def test_two_exponents_of_one_patch_are_both_kept_in_a_region(spark):
+    rows = spark.createDataFrame([(0, 0, 0, 0, 1.0), (0, 1, 1, 0, 2.0)], "patch_seq long, e int, x long, y long, heights1d double")
+    got = builder.Builder(2).add_table(rows).build_adaptive().samples
+    assert {(r.e, r.x, r.y, r.heights1d) for r in got.collect()} == {(0, 0, 0, 1.0), (1, 1, 0, 2.0)}
