@@ -12,17 +12,39 @@ from ..plans.tree import EMPTY, Link, Merge, Raster, Tree, with_tiles
 from .overlay import CELL
 
 
+#: Cells are counted in blocks of at most 2^BLOCK cells per side, which have a bit for each in longs.
+BLOCK = 4
+
+
 def tiles(raster: Raster) -> DataFrame:
     """A row per leaf tile: te, tx, ty, e, split, window (wx0..wy1, max exclusive), exact bounding box, samples n, has_mask."""
-    rows = with_tiles(raster.df, raster.split)
-    s = cells.size()
-    out = rows.groupBy("te", "tx", "ty", "e").agg(
-        F.min("x").alias("wx0"), F.min("y").alias("wy0"), (F.max("x") + 1).alias("wx1"), (F.max("y") + 1).alias("wy1"),
-        *[c.alias(n) for c, n in zip((F.min(F.col("x") * s), F.min(F.col("y") * s), F.max((F.col("x") + 1) * s), F.max((F.col("y") + 1) * s)), ("bb_x0", "bb_y0", "bb_x1", "bb_y1"))],
-        F.count("*").alias("n"),
-    )
+    return tiles_of(raster.df, raster.split)
+
+
+def tiles_of(rows: DataFrame, split: int) -> DataFrame:
+    """tiles() of the raster whose cells are those of rows (e, x, y), which may repeat.
+
+    Aggregates hold blocks instead of cells, so their memory goes with the area that has cells.
+    """
+    k = min(split, BLOCK)
+    place = F.lit(0)
+    for c, n in (("x", 0), ("y", k)):  # cells without an index are one
+        place = place + F.coalesce(F.col(c).bitwiseAND((1 << k) - 1), F.lit(0)).cast("int") * (1 << n)
+    words = range(max(1, 4**k // 64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63))
+    ends = [f(c).alias(n) for n, c, f in (("x0", "x", F.min), ("y0", "y", F.min), ("x1", "x", F.max), ("y1", "y", F.max))]
+    blocks = rows.select("e", "x", "y", cells.shift(F.col("x"), k).alias("tx"), cells.shift(F.col("y"), k).alias("ty"), place.alias("place"))
+    blocks = blocks.groupBy("e", "tx", "ty").agg(*ends, *[F.bit_or(F.when(F.shiftright("place", 6) == w, bit)).alias(f"bits{w}") for w in words])
+    counts = [F.coalesce(F.bit_count(f"bits{w}"), F.lit(0)).cast("long") for w in words]
+    out = blocks.select("e", "tx", "ty", "x0", "y0", "x1", "y1", sum(counts[1:], counts[0]).alias("n"))
+    if split > k:
+        up = [cells.shift(F.col(c), split - k).alias(c) for c in ("tx", "ty")]
+        out = out.select("e", *up, "x0", "y0", "x1", "y1", "n").groupBy("e", "tx", "ty").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
+    window = [F.col("x0").alias("wx0"), F.col("y0").alias("wy0"), (F.col("x1") + 1).alias("wx1"), (F.col("y1") + 1).alias("wy1")]
+    out = out.select((F.col("e") + F.lit(split)).alias("te"), "tx", "ty", "e", F.lit(split).alias("split"), *window, "n")
+    box = [(F.col(f"w{c}") * cells.size()).alias(f"bb_{c}") for c in ("x0", "y0", "x1", "y1")]
     area = (F.col("wx1") - F.col("wx0")) * (F.col("wy1") - F.col("wy0"))
-    return out.select("te", "tx", "ty", "e", F.lit(raster.split).alias("split"), "wx0", "wy0", "wx1", "wy1", "bb_x0", "bb_y0", "bb_x1", "bb_y1", "n", (F.col("n") < area).alias("has_mask"))
+    return out.select("te", "tx", "ty", "e", "split", "wx0", "wy0", "wx1", "wy1", *box, "n", (F.col("n") < area).alias("has_mask"))
 
 
 def leaves(tree: Tree) -> DataFrame:

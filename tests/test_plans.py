@@ -83,3 +83,11 @@ def test_two_exponents_of_one_patch_are_both_kept_in_a_region(spark):
     rows = spark.createDataFrame([(0, 0, 0, 0, 1.0), (0, 1, 1, 0, 2.0)], "patch_seq long, e int, x long, y long, heights1d double")
     got = builder.Builder(2).add_table(rows).build_adaptive().samples
     assert {(r.e, r.x, r.y, r.heights1d) for r in got.collect()} == {(0, 0, 0, 1.0), (1, 1, 0, 2.0)}
+
+
+def test_tiles_are_aggregated_without_a_group_for_each_cell(spark):
+    """Rows of tile_counts that share a tile make one group from the first aggregate on."""
+    text = plan(queries.QUERIES["tile_counts"](spark, SF))
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", text)
+    assert keys and not [k for k in keys if re.search(r"\b[xy]#", k)]
+    assert text.count("Exchange hashpartitioning") == 1

@@ -313,3 +313,29 @@ def test_streamed_patches(spark, tmp_path):
     for _ in range(2):
         append_patches(stream, store, "p", str(tmp_path / "cp"), ["patch_seq", "e", "x", "y"]).awaitTermination(120)
     assert store.load_patches("p").count() == 70
+
+
+@pytest.mark.parametrize("split", [0, 1, 3, 4, 6])
+def test_tiles_of_cells_that_repeat(spark, split):
+    rng = random.Random(split)
+    rows = [(rng.choice((-1, 0, 2)), rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(700)]
+    rows += rows[:300] + [(0, x, y) for x in range(-64, 0) for y in range(64)] + [(0, None, 3), (0, None, 3), (0, None, 4), (0, 5, None), (2, None, None)]
+    up = lambda v: None if v is None else v >> split
+    tiles = {}
+    for e, x, y in set(rows):
+        tiles.setdefault((e + split, up(x), up(y), e), []).append((x, y))
+    want = set()
+    for key, inside in tiles.items():
+        xs, ys = ([p[k] for p in inside if p[k] is not None] for k in (0, 1))
+        x0, x1 = (min(xs), max(xs) + 1) if xs else (None, None)
+        y0, y1 = (min(ys), max(ys) + 1) if ys else (None, None)
+        s = 2.0 ** key[3]
+        holes = len(inside) < (x1 - x0) * (y1 - y0) if xs and ys else None
+        want.add((*key, split, x0, y0, x1, y1, *[None if v is None else v * s for v in (x0, y0, x1, y1)], len(inside), holes))
+    df = spark.createDataFrame(rows, "e int, x long, y long").repartition(5)
+    got = inspect.tiles_of(df, split)
+    assert [f.dataType.typeName() for f in got.schema] == ["integer", "long", "long", "integer", "integer", *["long"] * 4, *["double"] * 4, "long", "boolean"]
+    listed = [tuple(r) for r in got.collect()]
+    assert len(listed) == len(want) and set(listed) == want
+    unique = inspect.tiles(Raster(df.distinct(), (-1, 0, 2), split))
+    assert {tuple(r) for r in unique.collect()} == want
